@@ -241,7 +241,7 @@ def components(links: DataFrame) -> DataFrame:
         if labels is None:
             labels = to
         else:
-            labels = labels.join(to.withColumnsRenamed({"node": "comp", "comp": "next"}), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
+            labels = labels.join(to.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
     return materialize(labels) if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
