@@ -43,6 +43,8 @@ PERCENT = 80
 BANDS, ROWS = 30, 5
 SMALL = 16
 NEIGHBOURS = 2
+#: So many pairs are verified together, whatever they join.
+AT_ONCE = 20_000
 BATCH = 30
 MISS = 1e-5
 _HASHES = BANDS * ROWS
@@ -202,8 +204,8 @@ def _survivors(pairs: DataFrame, classes: DataFrame, needed: list[int]) -> DataF
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose full sets are similar enough."""
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b").select("a", "b", "set_a", "set_b")
+    """Components ``a, b`` of those of ``pairs`` (a, b, comp_a, comp_b) whose full sets are similar enough."""
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b").select("comp_a", "comp_b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,25 +258,39 @@ def _with_comps(rows: DataFrame, comps: DataFrame | None, *names: str) -> DataFr
     return rows
 
 
-def _verified(survivors: DataFrame, links: DataFrame | None, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """All links that join the survivors' components, with those known before; and the components.
+def _merged(comps: DataFrame | None, step: DataFrame) -> DataFrame:
+    """``comps`` after its components were linked as ``step`` (node, comp) says."""
+    if comps is None:
+        return step
+    moved = comps.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
+    return materialize(moved.union(step.join(comps.select("node"), "node", "left_anti").select("node", "comp")))
 
-    Each class's likeliest pair is tested first. A pair within a component
-    can't change it; every other pair is tested in some round.
+
+def _verified(survivors: DataFrame, comps: DataFrame | None, sets: DataFrame) -> tuple[DataFrame | None, bool]:
+    """``comps`` merged by all links among the survivors; and whether there were any.
+
+    Each component's likeliest pair is tested first. A pair within a component
+    can't change it; every other pair is tested in some round, and all of them
+    at once when few are left.
     """
-    comps = components(links) if links is not None else None
+    linked = False
     while True:
         open_pairs = materialize(_with_comps(survivors, comps, "a", "b").where("comp_a <> comp_b").select("a", "b", "matches", "comp_a", "comp_b"))
-        if open_pairs.isEmpty():
-            return links, comps
-        rank = F.struct("matches", "a", "b")
-        ends = open_pairs.select(F.col("comp_a").alias("c"), rank.alias("r")).union(open_pairs.select("comp_b", rank))
-        best = ends.groupBy("c").agg(F.max("r").alias("r")).select("r.a", "r.b").distinct()
-        best = materialize(best)
-        found = _links(best, sets)
-        links = materialize(found if links is None else links.union(found))
-        comps = components(links)
-        survivors = open_pairs.select("a", "b", "matches").join(best, ["a", "b"], "left_anti")
+        left = open_pairs.count()
+        if not left:
+            return comps, linked
+        if left <= AT_ONCE:
+            best = open_pairs.drop("matches")
+        else:
+            rank = F.struct("matches", "a", "b", "comp_a", "comp_b")
+            ends = open_pairs.select(F.col("comp_a").alias("c"), rank.alias("r")).union(open_pairs.select("comp_b", rank))
+            best = materialize(ends.groupBy("c").agg(F.max("r").alias("r")).select("r.a", "r.b", "r.comp_a", "r.comp_b").distinct())
+        step = components(_links(best, sets))
+        if not step.isEmpty():
+            comps, linked = _merged(comps, step), True
+        if left <= AT_ONCE:
+            return comps, linked
+        survivors = open_pairs.select("a", "b", "matches").join(best.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -290,19 +306,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     pairs = _bucket_pairs(keyed.withColumns({"comp": F.col("node"), "members": F.lit(1)}))
     survivors = materialize(_survivors(pairs, classes, needed))
     sets = _sets_of(survivors, classes, docs, size)
-    links, comps = _verified(survivors, None, sets)
+    comps, linked = _verified(survivors, None, sets)
     again = 0
-    while comps is not None:
+    while linked:
         again += 1
         # one class of each component in a bucket; only nodes of large buckets can give pairs
         at = _with_comps(keyed, comps, "node").groupBy("key", "comp_node").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(again))).alias("x"), F.count(F.lit(1)).alias("members"))
         more = _bucket_pairs(at.select("key", "x.node", "x.n", F.col("comp_node").alias("comp"), "members"), again)
         more = materialize(_survivors(more.join(survivors.select("a", "b"), ["a", "b"], "left_anti"), classes, needed))
-        before = links.count()
-        links, comps = _verified(more, links, _sets_of(more, classes, docs, size))
-        if links.count() == before:
-            break
-        survivors = materialize(survivors.union(more))
+        comps, linked = _verified(more, comps, _sets_of(more, classes, docs, size)) if not more.isEmpty() else (comps, False)
+        survivors = survivors.union(more)
     named = classes.select("node", "rep", "copies")
     named = _with_comps(named, comps, "node")
     least = named.groupBy("comp_node").agg(F.min("rep").alias("component"))
