@@ -10,8 +10,8 @@
 3. Signatures of a candidate pair are compared batch by batch. Once the
    posterior probability that the similarity reaches the threshold is below
    ``MISS``, the pair is dropped.
-4. Survivors are verified on their full sets: for each class its likeliest
-   pair first, then those that still join different components, until none is left
+4. Survivors are verified on their full sets: for each class the pair with
+   its leader first, then those that still join different components, until none is left
    untested.
 
 A pair of similarity 0.8 shares no band with probability 7e-6. Components come
@@ -41,10 +41,10 @@ from sievespark.llm.words import Words, shingles
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 30, 5
-SMALL = 16
-NEIGHBOURS = 2
+SMALL = 64
+NEIGHBOURS = 1
 #: So many pairs are verified together, whatever they join.
-AT_ONCE = 20_000
+AT_ONCE = 50_000
 BATCH = 30
 MISS = 1e-5
 _HASHES = BANDS * ROWS
@@ -134,9 +134,10 @@ def _bucket_pairs(rows: DataFrame, again: int = 0) -> DataFrame:
     """Candidate pairs ``a < b`` of ``rows`` (key, node, n, comp, members) in buckets by ``key``; with ``again``, only from buckets of over ``SMALL`` members.
 
     Rows come sorted, bucket by bucket; of a large bucket only a window of
-    rows is held. Its first row in the order of a hash leads.
+    rows is held. Its first row leads, in an order of nodes that holds in all
+    buckets: buckets of the same near copies then mostly share their leader.
     """
-    order = F.xxhash64("node", "key", F.lit(again))
+    order = F.xxhash64("node", F.lit(again))
     rows = rows.select("key", "node", "n", "comp", "members", order.alias("order")).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +165,7 @@ def _bucket_pairs(rows: DataFrame, again: int = 0) -> DataFrame:
                     fit(leader, row)
                     for y in held:
                         fit(y, row)
-                    held = [*held[1 - NEIGHBOURS :], row]
+                    held = [*held[len(held) - NEIGHBOURS + 1 :], row]
                     continue
                 held.append(row)
                 if len(held) > SMALL:
@@ -225,19 +226,22 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` of the nodes of ``links`` (a, b): equal ``comp`` for linked nodes.
 
-    Each round maps every node to the least of its neighbours in the order of
-    a hash that changes by the round, and contracts; the number of nodes falls by a constant factor in
-    expectation, whatever the shape. A hub's links are merged before they meet.
+    Each round maps every node to the least node within two steps, in the
+    order of a hash that changes by the round, and contracts: stars vanish in one round, and
+    the number of nodes falls by a constant factor in expectation, whatever the
+    shape. A hub's links are merged before they meet.
     """
     edges = materialize(links.select("a", "b").distinct())
     labels, step = None, 0
     while not edges.isEmpty():
         step += 1
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)), F.col(c).alias("id"))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        least = ends.select("node", F.xxhash64("to", F.lit(step)).alias("h"), "to").groupBy("node").agg(F.min("h").alias("h"), F.min_by("to", "h").alias("to"))
-        own = F.xxhash64("node", F.lit(step))
-        to = materialize(least.select("node", F.when(F.col("h") < own, F.col("to")).otherwise(F.col("node")).alias("comp")))
+        near = ends.groupBy("node").agg(F.min(F.xxhash64("to", F.lit(step))).alias("h"), F.min_by("to", F.xxhash64("to", F.lit(step))).alias("to"))
+        near = near.select("node", F.least(F.struct("h", F.col("to").alias("id")), rank("node")).alias("best"))
+        near = materialize(near.select("node", "best.h", "best.id"))
+        far = ends.join(near.select(F.col("node").alias("to"), "h", "id"), "to").groupBy("node").agg(F.min("h").alias("far_h"), F.min_by("id", "h").alias("far_id"))
+        to = materialize(far.join(near, "node").select("node", F.when(F.col("far_h") < F.col("h"), F.col("far_id")).otherwise(F.col("id")).alias("comp")))
         moved = edges.join(to.withColumnsRenamed({"node": "a", "comp": "x"}), "a").join(to.withColumnsRenamed({"node": "b", "comp": "y"}), "b")
         edges = materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if labels is None:
@@ -269,7 +273,7 @@ def _merged(comps: DataFrame | None, step: DataFrame) -> DataFrame:
 def _verified(survivors: DataFrame, comps: DataFrame | None, sets: DataFrame) -> tuple[DataFrame | None, bool]:
     """``comps`` merged by all links among the survivors; and whether there were any.
 
-    Each component's likeliest pair is tested first. A pair within a component
+    Each component's pair with the class that leads is tested first. A pair within a component
     can't change it; every other pair is tested in some round, and all of them
     at once when few are left.
     """
@@ -282,9 +286,10 @@ def _verified(survivors: DataFrame, comps: DataFrame | None, sets: DataFrame) ->
         if left <= AT_ONCE:
             best = open_pairs.drop("matches")
         else:
-            rank = F.struct("matches", "a", "b", "comp_a", "comp_b")
-            ends = open_pairs.select(F.col("comp_a").alias("c"), rank.alias("r")).union(open_pairs.select("comp_b", rank))
-            best = materialize(ends.groupBy("c").agg(F.max("r").alias("r")).select("r.a", "r.b", "r.comp_a", "r.comp_b").distinct())
+            pair = F.struct("a", "b", "comp_a", "comp_b")
+            towards = lambda c: F.struct(F.xxhash64(c, F.lit(0)).alias("order"), pair.alias("pair"))
+            ends = open_pairs.select(F.col("comp_a").alias("c"), towards("b").alias("r")).union(open_pairs.select("comp_b", towards("a")))
+            best = materialize(ends.groupBy("c").agg(F.min("r").alias("r")).select("r.pair.*").distinct())
         step = components(_links(best, sets))
         if not step.isEmpty():
             comps, linked = _merged(comps, step), True
