@@ -29,7 +29,7 @@ def with_boundary(text: Column, flagged: Column) -> Column:
 
 def luhn_ok(text: Column) -> Column:
     digits = F.regexp_replace(text, "[^0-9]", "")
-    return (F.char_length(digits) >= 13) & F.luhn_check(digits)
+    return (F.char_length(digits) >= 13) & F.call_function("luhn_check", digits)
 
 
 def ssn_valid(text: Column) -> Column:
@@ -102,6 +102,8 @@ def normalise(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct byte trigrams of the UTF-8 form."""
-    data, n = F.encode(text, "utf-8"), F.octet_length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(data, i, F.lit(3))))).otherwise(F.array().cast("array<binary>"))
+    """Distinct byte trigrams of the UTF-8 form, in hex: sets of strings are hashed, sets of binaries would be searched."""
+    # bound to lambda variables, so that the text is normalised and encoded once and not for each trigram
+    grams = lambda d: F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length(d) - 2), lambda i: F.hex(F.substring(d, i, F.lit(3)))))
+    of = lambda d: F.when(F.octet_length(d) >= 3, grams(d)).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(F.encode(text, "utf-8")), of), F.lit(0))

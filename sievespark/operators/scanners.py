@@ -287,14 +287,14 @@ class FuzzyMatch:
         hits = []
         for key, phrase in self.corpus:
             data = re.sub(r"\s+", " ", phrase.lower()).strip().encode()
-            grams = sorted({data[i : i + 3] for i in range(len(data) - 2)})
+            grams = sorted({data[i : i + 3].hex().upper() for i in range(len(data) - 2)})
             if grams:
-                shared = lambda o, grams=grams: F.size(F.array_intersect(o, F.array(*[F.lit(g) for g in grams])))
-                hits.append((key, len(grams), shared))
+                hits.append((key, len(grams), F.array(*[F.lit(g) for g in grams])))
         whole = lambda key: S.match(self.name, F.lit(key), F.lit(0), F.octet_length(text), text, self.confidence, self.severity)
 
         def judged(o: Column) -> Column:
-            checks = [F.when((n(o) >= 4) & ((n(o) / F.lit(size)).cast("float") >= F.lit(least).cast("float")), whole(key)) for key, size, n in hits]
+            shared = lambda grams: F.size(F.array_intersect(o, grams))
+            checks = [F.when((shared(grams) >= 4) & ((shared(grams) / F.lit(size)).cast("float") >= F.lit(least).cast("float")), whole(key)) for key, size, grams in hits]
             return F.filter(F.array(*checks), lambda m: m.isNotNull())
 
         # one-element transform: the trigrams are made once for all phrases

@@ -76,7 +76,7 @@ def _scan_documents(scanner: Callable[[SparkSession], Scanner]) -> Callable[[Spa
     return lambda spark, sf_dir: _flat(_planted(spark, sf_dir), scanner(spark))
 
 
-_EMPLOYEE = (RegexPattern("emp_id", r"\bEMP-[0-9]{6}\b"), RegexPattern("caps", r"\b[A-Z]{3,}\b"))
+_EMPLOYEE = (RegexPattern("emp_id", r"\bEMP-[0-9]{6}\b"), RegexPattern("digits", "[0-9]{3,}"))
 _PREVIOUS = BanSubstrings("previous", ("ignore previous", "system override"), S.BLOCK, S.HIGH)
 _ascii_pii = [(k, p.removeprefix("(?U)")) for k, p, _ in tables.PII]
 _CHECKED = """CASE id
@@ -177,7 +177,7 @@ def _verdict_sql(parts: list[str], first_hit: bool = False) -> str:
 WITH ids AS (SELECT doc_id FROM documents), arms AS ({arms}), ranked AS (
     SELECT *, min(scanner_no) OVER (PARTITION BY doc_id) AS least_no FROM arms
 ), used AS (SELECT * FROM ranked {only}), summed AS (
-    SELECT doc_id, bool_or(severity = 2) AS refuse, max(severity) AS max_severity, count(*) AS n, arg_min(scanner, scanner_no * 1000000000 + ord) AS first_scanner, arg_min(pattern, scanner_no * 1000000000 + ord) AS first_pattern
+    SELECT doc_id, bool_or(severity = 2) AS refuse, max(severity) AS max_severity, count(*) AS n, arg_min(scanner, scanner_no::BIGINT * 1000000000 + ord) AS first_scanner, arg_min(pattern, scanner_no::BIGINT * 1000000000 + ord) AS first_pattern
     FROM used GROUP BY doc_id
 )
 SELECT i.doc_id, n IS NOT NULL AS flagged, coalesce(refuse, false) AS refuse, max_severity::INT AS max_severity, coalesce(n, 0) AS n_matches, first_scanner, first_pattern
