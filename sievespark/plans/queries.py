@@ -135,20 +135,6 @@ def _union_sql(*parts: str) -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
 
 
-_FUZZY_SQL = """
-WITH {docs}, norm AS (
-    SELECT doc_id, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM docs WHERE length(text) >= 12
-), own AS (
-    SELECT doc_id, text, list_distinct(list_transform(range(0, greatest(octet_length(encode(t)) - 2, 0)), lambda i: substr(hex(encode(t)), (2 * i + 1)::BIGINT, 6))) AS g FROM norm
-), corpus AS (
-    SELECT k, id, list_distinct(list_transform(range(0, length(p) - 2), lambda i: hex(encode(substr(p, (i + 1)::BIGINT, 3))))) AS g FROM (VALUES {values}) v(k, id, p)
-), scored AS (
-    SELECT doc_id, text, k, id, len(list_intersect(own.g, corpus.g)) AS n, len(corpus.g) AS m FROM own, corpus
-)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, 'fuzzy_match' AS scanner, id AS pattern, 0::BIGINT AS start_byte,
-       strlen(text)::BIGINT AS end_byte, text AS hit, 1 AS confidence, 1 AS severity, false AS decoded
-FROM scored WHERE n >= 4 AND (n::DOUBLE / m)::FLOAT >= 0.75::FLOAT"""
-
 _FLOOD_SQL = f"""
 WITH {_SQL_DOCS}, chars AS (
     SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM docs
@@ -246,7 +232,6 @@ ORACLE: dict[str, str] = {
     "assigned_tokens": _sql_find([(p.id, p.regex) for p in assigned_tokens().patterns], "assigned_token", lambda _: (1, 2)),
     "url_extract": _url_sql("page_id", "url", "pages", "one AS (SELECT 1)"),
     "url_extract_documents": _url_sql("doc_id", "text", "docs", _SQL_DOCS),
-    "fuzzy_match": _FUZZY_SQL.format(docs=_SQL_DOCS, values=", ".join(f"({k}, '{i}', '{p}')" for k, (i, p) in enumerate(tables.PARAPHRASES))),
     "strip_controls": f"WITH {_SQL_DOCS} SELECT doc_id, sha256(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', ' ', 'g')) AS clean_sha256 FROM docs",
     "with_boundary": f"WITH {_SQL_DOCS}, hit AS (SELECT DISTINCT doc_id FROM ({_INJECTION_SQL})) SELECT d.doc_id, sha256(CASE WHEN h.doc_id IS NULL THEN '' ELSE {_sql_string(X.NOTE)} || chr(10) || chr(10) END || {_sql_string(X.START)} || chr(10) || text || chr(10) || {_sql_string(X.END)}) AS bounded_sha256 FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id",
     "pipeline_all_verdicts": _verdict_sql(_GUARD_PARTS),
