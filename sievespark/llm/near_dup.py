@@ -2,20 +2,23 @@
 
 1. A text's set holds its distinct word shingles. Texts with equal sets form a
    class; only one set of each class goes on, so copies cost nothing further.
-2. Band keys of a MinHash signature bring classes together. A bucket of up to
-   ``SMALL`` classes gives all its pairs of fitting sizes. A larger one, which
-   near copies in great number make, gives each class its leader and its
-   neighbours; after the links so far are merged, one class of each component
-   in the bucket is compared again, under other leaders, until a round adds no link.
-3. Signatures of a candidate pair are compared batch by batch. Once the
-   posterior probability that the similarity reaches the threshold is below
-   ``MISS``, the pair is dropped.
-4. Survivors are verified on their full sets: for each class the pair with
-   its leader first, then those that still join different components, until none is left
-   untested.
-
-A pair of similarity 0.8 shares no band with probability 7e-6. Components come
-from contracting links in rounds; nothing of the size of the corpus reaches the driver.
+2. Band keys of a MinHash signature bring classes together. Buckets of two or
+   more classes are compared where they lie, signature batch by signature
+   batch: once the posterior probability that a pair's similarity reaches the
+   threshold is below ``MISS``, the pair is dropped.
+3. A first round lets each bucket name a spanning forest of its surest pairs,
+   which full sets confirm or refute; confirmed links are contracted. A second
+   names each class's best pair with another component.
+4. The last round tests every pair, in every bucket, that survives the
+   posterior and still lies in two components, on full sets that its bucket
+   then holds. A pair that no round tests therefore lies within a component, shares no band or
+   was pruned, so the components are those of all links found by the method.
+
+Buckets of over ``BLOCK`` classes are dealt to several tasks: the first round in
+blocks, the others in cells that bring each two blocks together, without those
+of two blocks of the bucket's largest component. A bucket whose classes are one component is
+done. A pair of similarity 0.8 shares no band with probability 7e-6. Nothing of
+the size of the corpus reaches the driver.
 
 Null or empty text, or text without words: an empty set, linked with nothing,
 its own component. Fewer words than a shingle: the whole sequence as one. Rows
@@ -25,7 +28,8 @@ links and never name a component with an id; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from sievespark.llm.common import attach, bound_batches, materialize, mix64, partitions, slices, texts_of
 from sievespark.llm.words import Words, shingles
@@ -41,10 +44,11 @@ from sievespark.llm.words import Words, shingles
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 30, 5
-SMALL = 64
-NEIGHBOURS = 1
-#: So many pairs are verified together, whatever they join.
-AT_ONCE = 50_000
+#: Classes of one bucket that meet in one task, and shingles that count as one more.
+BLOCK = 4096
+SHINGLES = 512
+#: Matches among a signature's bytes from which the first round names a pair.
+SURE = 128
 BATCH = 30
 MISS = 1e-5
 _HASHES = BANDS * ROWS
@@ -130,78 +134,169 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _bucket_pairs(rows: DataFrame, again: int = 0) -> DataFrame:
-    """Candidate pairs ``a < b`` of ``rows`` (key, node, n, comp, members) in buckets by ``key``; with ``again``, only from buckets of over ``SMALL`` members.
-
-    Rows come sorted, bucket by bucket; of a large bucket only a window of
-    rows is held. Its first row leads, in an order of nodes that holds in all
-    buckets: buckets of the same near copies then mostly share their leader.
+_ROW = "key", "x", "y", "own", "node", "n", "comp", "bytes", "bands", "set"
+
+
+class Cell:
+    """Classes that meet in one task: ``own`` side, ``node``, size ``n``, ``comp`` and signature of each; band keys and full sets in the last round."""
+
+    def __init__(self, columns: list[np.ndarray], needed: list[int]) -> None:
+        key, x, y, self.own, self.node, self.n, self.comp, self.sig, self.bands, self.sets = columns
+        self.key, self.x, self.y, self.needed = key[0], int(x[0]), int(y[0]), needed
+
+    def partners(self, i: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the rows ``among`` survive the comparison with row i, and their matches."""
+        n = self.n[among]
+        among = among[100 * np.minimum(n, self.n[i]) >= PERCENT * np.maximum(n, self.n[i])]
+        keep, matches = likely(np.broadcast_to(self.sig[i], (len(among), _HASHES)), self.sig[among], self.needed)
+        return among[keep], matches[keep]
+
+    def forest(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Row and partners of a spanning forest of the surest pairs, from the first row outwards."""
+        left, queue = np.arange(len(self.node)), deque()
+        while len(left):
+            if not queue:
+                queue.append(int(left[0]))
+                left = left[1:]
+            i = queue.popleft()
+            near, matches = self.partners(i, left)
+            near = near[matches >= SURE]
+            if len(near):
+                yield i, near
+                queue.extend(near.tolist())
+                left = np.setdiff1d(left, near, assume_unique=True)
+
+    def across(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each row outside the largest component, its partners in other components and their matches; no pair twice."""
+        if self.x != self.y:
+            side = np.flatnonzero(self.own == self.x)
+            for i in np.flatnonzero(self.own == self.y).tolist():
+                yield i, *self.partners(i, side[self.comp[side] != self.comp[i]])
+            return
+        comps, counts = np.unique(self.comp, return_counts=True)
+        if len(comps) < 2:
+            return
+        top = self.comp == comps[np.argmax(counts)]
+        at = np.arange(len(top))
+        for i in np.flatnonzero(~top).tolist():
+            yield i, *self.partners(i, at[(self.comp != self.comp[i]) & (top | (at > i))])
+
+    def best(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row's partner of most matches."""
+        for i, near, matches in self.across():
+            if len(near):
+                yield i, near[[np.argmax(matches)]]
+
+    def links(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row's partners by full sets; a pair is tested in the first of the buckets that it shares."""
+        for i, near, _ in self.across():
+            shared = self.bands[near] == self.bands[i]
+            near = near[self.bands[i][shared.argmax(1)] == self.key]
+            if len(near):
+                sizes = self.n[near]
+                values = np.concatenate([self.sets[j] for j in near.tolist()])
+                mine = self.sets[i]
+                found = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+                common = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+                near = near[100 * common >= PERCENT * (sizes + len(mine) - common)]
+                if len(near):
+                    yield i, near
+
+
+def _cells(batches: Iterator[pa.RecordBatch], needed: list[int]) -> Iterator[Cell]:
+    """The cells of sorted rows; only a batch and one cell are held."""
+    held: list[list[np.ndarray]] = []
+
+    def made() -> Cell:
+        return Cell([np.concatenate(c) for c in zip(*held, strict=True)], needed)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        columns.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, _HASHES))
+        full = batch.column(8).null_count == 0
+        columns.append(batch.column(8).flatten().to_numpy().reshape(-1, BANDS) if full else np.zeros((batch.num_rows, 0), np.int64))
+        sets = np.empty(batch.num_rows, object)
+        for i, v in enumerate(batch.column(9).to_pylist() if full else []):
+            sets[i] = np.frombuffer(v, np.uint64)
+        columns.append(sets)
+        key, x, y = columns[:3]
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            if held and (i or [c[-1] for c in held[-1][:3]] != [key[0], x[0], y[0]]):
+                yield made()
+                held = []
+            held.append([c[i:j] for c in columns])
+    if held:
+        yield made()
+
+
+def _named(rows: DataFrame, pick: Callable[[Cell], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """Distinct pairs ``a < b`` with their components that ``pick`` names in the cells of ``rows``.
+
+    Rows of a cell come in one order of nodes that holds in all cells, so
+    that buckets of the same classes name the same pairs.
     """
-    order = F.xxhash64("node", F.lit(again))
-    rows = rows.select("key", "node", "n", "comp", "members", order.alias("order")).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "order")
+    needed = least_matches()
+    bound_batches(rows.sparkSession)
+    if "set" not in rows.columns:
+        rows = rows.withColumns({"bands": F.lit(None).cast("array<long>"), "set": F.lit(None).cast("binary")})
+    rows = rows.select(*_ROW, F.xxhash64("node").alias("order")).repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leader, held, large = None, None, [], False
-        out: list[tuple[int, int]] = []
-
-        def fit(x: list, y: list) -> None:
-            if x[2] != y[2] and 100 * min(x[1], y[1]) >= PERCENT * max(x[1], y[1]):
-                out.append((x[0], y[0]) if x[0] < y[0] else (y[0], x[0]))
-
-        def small() -> None:
-            if not again or sum(x[3] for x in held) > SMALL:
-                for i, x in enumerate(held):
-                    for y in held[:i]:
-                        fit(x, y)
-
-        for batch in batches:
-            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if k != key:
-                    if not large:
-                        small()
-                    key, leader, held, large = k, row, [row], False
-                    continue
-                if large:
-                    fit(leader, row)
-                    for y in held:
-                        fit(y, row)
-                    held = [*held[len(held) - NEIGHBOURS + 1 :], row]
-                    continue
-                held.append(row)
-                if len(held) > SMALL:
-                    large = True
-                    for i, y in enumerate(held[1:], 1):
-                        for x in [leader, *held[max(1, i - NEIGHBOURS) : i]]:
-                            fit(x, y)
-                    held = held[-NEIGHBOURS:]
-            if len(out) > 1 << 15:
-                yield _pairs(out)
-                out = []
-        if not large:
-            small()
+        out: list[np.ndarray] = []
+        size = 0
+        for cell in _cells(batches, needed):
+            for i, near in pick(cell):
+                swap = cell.node[near] < cell.node[i]
+                ends = [np.where(swap, v[near], v[i]) for v in (cell.node, cell.comp)] + [np.where(swap, v[i], v[near]) for v in (cell.node, cell.comp)]
+                out.append(np.stack([ends[0], ends[2], ends[1], ends[3]], 1))
+                size += len(near)
+                if size > 1 << 16:
+                    yield _pairs(out)
+                    out, size = [], 0
         if out:
             yield _pairs(out)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return materialize(rows.mapInArrow(run, "a long, b long, comp_a long, comp_b long").distinct())
 
 
-def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.unique(np.array(out, np.int64), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _pairs(out: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["a", "b", "comp_a", "comp_b"])
 
 
-def _survivors(pairs: DataFrame, classes: DataFrame, needed: list[int]) -> DataFrame:
-    """Pairs that the posterior doesn't rule out, with their ``matches``."""
-    sig = classes.select("node", "bytes")
-    both = pairs.join(sig.withColumnsRenamed({"node": "a", "bytes": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "bytes": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
+def _blocks(multi: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the first round: each bucket (key, node, members) cut into blocks."""
+    block = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("members") / BLOCK)).cast("int")
+    rows = multi.select("key", "node", block.alias("x")).join(classes.select("node", "n", "bytes"), "node")
+    return rows.select("key", "x", F.col("x").alias("y"), F.col("x").alias("own"), "node", "n", F.col("node").alias("comp"), "bytes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _HASHES) for i in (2, 3))
-            keep, matches = likely(x, y, needed)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(matches[keep])], ["a", "b", "matches"])
 
-    return both.mapInArrow(run, "a long, b long, matches long")
+def _grid(multi: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the later rounds: cells of the buckets that hold several components.
+
+    A bucket of up to ``BLOCK`` classes, long ones counted by their shingles, is one cell. Of a larger one, the
+    largest component is cut into blocks -1, -2, ... and the rest into 0, 1, ...:
+    any two blocks meet in a cell, but for two of the largest component.
+    """
+    at = materialize(_with_comps(multi.select("key", "node", "n"), comps, "node"))
+    weight = F.sum(1 + F.col("n") / SHINGLES)
+    sizes = at.groupBy("key", "comp_node").agg(weight.alias("w")).groupBy("key")
+    sizes = sizes.agg(F.count(F.lit(1)).alias("comps"), F.sum("w").alias("all"), F.max("w").alias("most"), F.max_by("comp_node", F.struct("w", "comp_node")).alias("top")).where("comps > 1")
+    whole = F.col("all") <= BLOCK
+    tops = F.when(whole, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("int")
+    rest = F.when(whole, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / BLOCK))).cast("int")
+    rows = at.join(sizes.select("key", "top", tops.alias("tops"), rest.alias("rest")), "key")
+    in_top = (F.col("tops") > 0) & (F.col("comp_node") == F.col("top"))
+    code = F.xxhash64("node", "key")
+    own = F.when(in_top, -1 - F.pmod(code, F.greatest("tops", F.lit(1)))).otherwise(F.pmod(code, "rest")).cast("int")
+    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    others = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda h: F.when(in_top, cell(F.col("own"), h)).otherwise(cell(F.least("own", h), F.greatest("own", h))))
+    above = F.when(in_top | (F.col("tops") == 0), F.array().cast("array<struct<x:int,y:int>>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest("tops", F.lit(1))), lambda g: cell(-g, F.col("own"))))
+    rows = rows.withColumn("own", own).select("key", "node", "comp_node", "own", F.explode(F.concat(others, above)).alias("cell"))
+    return rows.select("key", "cell.x", "cell.y", "own", "node", F.col("comp_node").alias("comp"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,53 +346,20 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(labels) if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def _with_comps(rows: DataFrame, comps: DataFrame | None, *names: str) -> DataFrame:
+def _with_comps(rows: DataFrame, comps: DataFrame, *names: str) -> DataFrame:
     """``rows`` with the component of each column named, the node itself where it has none."""
     for name in names:
-        if comps is None:
-            rows = rows.withColumn(f"comp_{name}", F.col(name))
-        else:
-            own = comps.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
-            rows = rows.join(own, F.col(name) == F.col("__node"), "left").withColumn(f"comp_{name}", F.coalesce("__comp", name)).drop("__node", "__comp")
+        own = comps.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
+        rows = rows.join(own, F.col(name) == F.col("__node"), "left").withColumn(f"comp_{name}", F.coalesce("__comp", name)).drop("__node", "__comp")
     return rows
 
 
-def _merged(comps: DataFrame | None, step: DataFrame) -> DataFrame:
+def _merged(comps: DataFrame, step: DataFrame) -> DataFrame:
     """``comps`` after its components were linked as ``step`` (node, comp) says."""
-    if comps is None:
-        return step
     moved = comps.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
     return materialize(moved.union(step.join(comps.select("node"), "node", "left_anti").select("node", "comp")))
 
 
-def _verified(survivors: DataFrame, comps: DataFrame | None, sets: DataFrame) -> tuple[DataFrame | None, bool]:
-    """``comps`` merged by all links among the survivors; and whether there were any.
-
-    Each component's pair with the class that leads is tested first. A pair within a component
-    can't change it; every other pair is tested in some round, and all of them
-    at once when few are left.
-    """
-    linked = False
-    while True:
-        open_pairs = materialize(_with_comps(survivors, comps, "a", "b").where("comp_a <> comp_b").select("a", "b", "matches", "comp_a", "comp_b"))
-        left = open_pairs.count()
-        if not left:
-            return comps, linked
-        if left <= AT_ONCE:
-            best = open_pairs.drop("matches")
-        else:
-            pair = F.struct("a", "b", "comp_a", "comp_b")
-            towards = lambda c: F.struct(F.xxhash64(c, F.lit(0)).alias("order"), pair.alias("pair"))
-            ends = open_pairs.select(F.col("comp_a").alias("c"), towards("b").alias("r")).union(open_pairs.select("comp_b", towards("a")))
-            best = materialize(ends.groupBy("c").agg(F.min("r").alias("r")).select("r.pair.*").distinct())
-        step = components(_links(best, sets))
-        if not step.isEmpty():
-            comps, linked = _merged(comps, step), True
-        if left <= AT_ONCE:
-            return comps, linked
-        survivors = open_pairs.select("a", "b", "matches").join(best.select("a", "b"), ["a", "b"], "left_anti")
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -306,21 +368,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     first = rows.where("node is not null").select("node", F.col("doc_id").alias("__id"), F.col("n_shingles").alias("n"), "bands", "bytes")
     classes = classes.join(first.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & F.col("rep").eqNullSafe(F.col("__id"))).drop("__id", "__node")
     classes = materialize(classes.dropDuplicates(["node"]))
-    needed = least_matches()
     keyed = classes.select("node", "n", F.explode("bands").alias("key"))
-    pairs = _bucket_pairs(keyed.withColumns({"comp": F.col("node"), "members": F.lit(1)}))
-    survivors = materialize(_survivors(pairs, classes, needed))
-    sets = _sets_of(survivors, classes, docs, size)
-    comps, linked = _verified(survivors, None, sets)
-    again = 0
-    while linked:
-        again += 1
-        # one class of each component in a bucket; only nodes of large buckets can give pairs
-        at = _with_comps(keyed, comps, "node").groupBy("key", "comp_node").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(again))).alias("x"), F.count(F.lit(1)).alias("members"))
-        more = _bucket_pairs(at.select("key", "x.node", "x.n", F.col("comp_node").alias("comp"), "members"), again)
-        more = materialize(_survivors(more.join(survivors.select("a", "b"), ["a", "b"], "left_anti"), classes, needed))
-        comps, linked = _verified(more, comps, _sets_of(more, classes, docs, size)) if not more.isEmpty() else (comps, False)
-        survivors = survivors.union(more)
+    members = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    multi = materialize(keyed.join(members, "key"))
+    signed_classes = classes.select("node", "n", "bytes")
+    tested = _named(_blocks(multi, classes), Cell.forest)
+    comps = components(_links(tested, _sets_of(tested, classes, docs, size)))
+    best = _named(_grid(multi, comps).join(signed_classes, "node"), Cell.best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    best = materialize(best)
+    if not best.isEmpty():
+        comps = _merged(comps, components(_links(best, _sets_of(best, classes, docs, size))))
+    cells = materialize(_grid(multi, comps))
+    if not cells.isEmpty():
+        sets = _sets_of(cells.select("node"), classes, docs, size)
+        full = classes.select("node", "n", "bytes", "bands").join(sets, "node")
+        links = _named(cells.join(full, "node"), Cell.links)
+        comps = _merged(comps, components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))))
     named = classes.select("node", "rep", "copies")
     named = _with_comps(named, comps, "node")
     least = named.groupBy("comp_node").agg(F.min("rep").alias("component"))
@@ -331,9 +394,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``node, set`` (sorted hashes) of the classes in ``pairs``, from the texts of their least ids."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets_of(of: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``node, set`` (sorted hashes) of the classes in ``of`` (pairs a, b, or nodes), from the texts of their least ids."""
+    nodes = (of if "node" in of.columns else of.select(F.col("a").alias("node")).union(of.select("b"))).select("node").distinct()
     wanted = classes.select("node", "rep").join(nodes, "node").select(F.col("rep").alias("__rep"), F.col("node").alias("__want"))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__rep"))).select("text", "__want")
 

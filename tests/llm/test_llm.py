@@ -267,6 +267,23 @@ def test_near_dup(docs, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_dup_large_buckets(spark, monkeypatch):
+    """Near copies about the threshold in buckets that are cut into blocks and cells."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    rng = random.Random(11)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.randint(1, 10)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS) + str(k)
+        rows.append((k, " ".join(words), None, None, None, None))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), 4).collect()
+    expected = components([(r[0], r[1]) for r in rows], 4)
+    assert 1 < len({c for _, _, c in expected}) < 150
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
