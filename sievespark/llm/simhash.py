@@ -84,7 +84,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     the others. Null ids come first; equal ids are ordered by text.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, 4 << 20)
     docs = docs.select("doc_id", "text")
     n = 4 * partitions(spark)
     cuts = F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n) if n > 1 else F.array().cast("array<bigint>")
@@ -101,7 +101,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for part in slices(batch, 1024):
+            for part in slices(batch, 128):
                 rows += zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)
                 own = [(i, a, b) for i, (a, b) in enumerate(zip(rows[:-1], rows[1:], strict=True)) if not a[2]]
                 texts = [text or "" for _, text, _ in rows]
