@@ -1,9 +1,12 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-Lines, and whole texts, are normalised (lower case, everything but a-z and 0-9
-as one space) and compared with each template whose size allows the threshold:
-two sets of n and m bigrams have a Dice coefficient of at most
-2 min(n, m) / (n + m). Only built-in functions run on the rows.
+Lines, whole texts and word windows are normalised (lower case, everything but
+a-z and 0-9 as one space) and compared with each template whose size allows the
+threshold: two sets of n and m bigrams have a Dice coefficient of at most
+2 min(n, m) / (n + m). A window of any place and length, up to the bound of its
+template, is reported where neither its lines nor the whole text match the same
+template; of windows that overlap, the best is. Only built-in functions run on
+the rows.
 
 Null or empty text, and units of fewer than two words: no match. A unit that
 reaches the threshold with several templates matches each. Repeated rows are
@@ -12,6 +15,12 @@ each scanned, and repeated lines are each reported; empty tables give none.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from importlib.resources import files
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,44 +42,121 @@ TEMPLATES = {
 }
 
 
+def all_templates() -> dict[str, str]:
+    """The notices, and the full texts in ``licence_texts``."""
+    return TEMPLATES | {p.name.removesuffix(".txt"): p.read_text("utf-8") for p in (files(__package__) / "licence_texts").iterdir() if p.name.endswith(".txt")}
+
+
 def words(text: Column) -> Column:
     """Normalised words of a text."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def bigrams(w: Column) -> Column:
-    """Distinct bigrams of an array of words, as 64-bit hashes."""
+def runs(w: Column) -> Column:
+    """Bigrams of an array of words in their order, as 64-bit hashes."""
     n = F.size(w)
     pairs = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
-    return F.when(n > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n > 1, pairs).otherwise(F.array().cast("array<bigint>"))
+
+
+def bigrams(w: Column) -> Column:
+    """Distinct bigrams of an array of words, as 64-bit hashes."""
+    return F.array_distinct(runs(w))
+
+
+def _bounds(text: str, threshold: float) -> tuple[int, int, int, list[str]]:
+    """What a unit that reaches the threshold has of a template: so many of its bigrams, at most so many bigrams in a row, and so many of its words; and these words.
+
+    Dice >= t with a template of n bigrams needs t n / (2 - t) of them. A
+    lacking word takes its bigrams away, and a bigram is of two words, so the
+    words that lack, those of fewest bigrams first, are few.
+    """
+    w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    pairs = set(zip(w, w[1:]))
+    least = math.ceil(threshold * len(pairs) / (2 - threshold) - 1e-9)
+    most = math.ceil((len(w) - 1) * (2 - threshold) / threshold)
+    touched = sorted(Counter(x for p in pairs for x in set(p)).values())
+    lacking = sum(1 for total in accumulate(touched) if total <= 2 * (len(pairs) - least))
+    return least, most, len(touched) - lacking, sorted(set(w))
+
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is worked out once, however often it is used."""
+    return rows.select(*rows.columns, F.explode(F.array(value)).alias(name))
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, line_no, license, dice`` of each match; ``line_no`` counts from 0 and is -1 for the whole text of several lines."""
+
+def _dice(grams: Column) -> Column:
+    return 2.0 * F.size(F.array_intersect(grams, "grams")) / (F.size(grams) + F.size("grams"))
+
+
+def _best_run(run: Column) -> Column:
+    """Best Dice of the stretches from the start of ``run`` (structs ``hit, gap``), and the length of the first that has it."""
+    state = F.struct(F.lit(0).alias("k"), F.lit(0).alias("met"), F.lit(0).alias("other"), F.lit(0.0).alias("dice"), F.lit(0).alias("length"))
+
+    def better(s: Column) -> tuple[Column, Column]:
+        dice = 2.0 * s["met"] / (s["met"] + s["other"] + F.size("grams"))
+        return F.greatest(dice, s["dice"]).alias("dice"), F.when(dice > s["dice"], s["k"]).otherwise(s["length"]).alias("length")
+
+    def step(s: Column, x: Column) -> Column:
+        first = (x["gap"] == 0) | (x["gap"] > s["k"])  # in this stretch
+        return F.struct((s["k"] + 1).alias("k"), (s["met"] + (first & x["hit"]).cast("int")).alias("met"), (s["other"] + (first & ~x["hit"]).cast("int")).alias("other"), *better(s))
+
+    return F.aggregate(run, state, step, lambda s: F.struct(*better(s)))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, line_no, license, dice`` of each match; ``line_no`` counts from 0 and is -1 for the whole text of several lines.
+
+    A match of a word window has the line on which it starts.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    known = [(name, grams) for name, grams in known.select("license", bigrams(words(F.col("text")))).collect() if grams]
+    known = {k: (t, *_bounds(t, threshold)) for k, t in (all_templates() if templates is None else templates).items()}
+    known = {k: v for k, v in known.items() if v[1]}
     if not known:
         return docs.select("doc_id", F.lit(0).alias("line_no"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).where("false")
-    # Dice >= t needs sizes within t / (2 - t) of each other, either way
-    least = min(len(g) for _, g in known) * threshold / (2 - threshold)
-    most = max(len(g) for _, g in known) * (2 - threshold) / threshold
-    lines = F.split("text", "\n")
-    units = F.concat(F.transform(lines, lambda line, i: F.struct(i.alias("line_no"), line.alias("unit"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line_no:int,unit:string>>")))
-    rows = docs.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.line_no", words(F.col("u.unit")).alias("w"))
-    rows = rows.where(F.size("w") > least)
-    rows = rows.select("doc_id", "line_no", bigrams(F.col("w")).alias("grams")).where(F.size("grams").between(least, most))
-    size = F.size("grams")
-    options = []
-    for name, grams in known:
-        fits = (F.lit(2 * len(grams)) >= threshold * (size + len(grams))) & (2 * size >= threshold * (size + len(grams)))
-        dice = 2.0 * F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in grams]))) / (size + len(grams))
-        options.append(F.struct(F.lit(name).alias("license"), F.when(fits, dice).alias("dice")))
-    return rows.select("doc_id", "line_no", F.explode(F.filter(F.array(*options), lambda o: o["dice"] >= threshold)).alias("m")).select("doc_id", "line_no", "m.license", "m.dice")
+    vocabulary = F.split(F.lit(" ".join(sorted({w for v in known.values() for w in v[4]}))), " ")
+    table = spark.createDataFrame([(k, *v) for k, v in sorted(known.items())], "license string, notice string, least int, most int, least_words int, vocabulary array<string>")
+    table = spark.createDataFrame(table.select("license", bigrams(words(F.col("notice"))).alias("grams"), "least", "most", "least_words", "vocabulary").collect(), "license string, grams array<bigint>, least int, most int, least_words int, vocabulary array<string>")
+    # every unit is a window of the text's words: most texts have too few words of any template
+    rows = _once(docs.select("doc_id", "text"), "present", F.array_intersect(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), vocabulary))
+    rows = rows.where(F.size("present") >= min(v[3] for v in known.values()))
+    rows = rows.crossJoin(F.broadcast(table)).where((F.size("present") >= F.col("least_words")) & (F.size(F.array_intersect("present", "vocabulary")) >= F.col("least_words")))
+    rows = _once(rows.drop("present", "vocabulary", "least_words"), "lines", F.transform(F.split("text", "\n"), words)).drop("text")
+    rows = _once(rows, "all", runs(F.flatten("lines"))).where(F.size(F.array_intersect("all", "grams")) >= F.col("least"))
+    fits = lambda g: 2 * F.least(F.size(g), F.size("grams")) >= threshold * (F.size(g) + F.size("grams"))
+    found = lambda i, g: F.struct(i.cast("int").alias("line_no"), F.when(fits(g), _dice(g)).alias("dice"))
+    reached = lambda m: m["dice"] >= threshold
+    rows = _once(rows, "own", F.filter(F.transform(F.transform("lines", bigrams), lambda g, i: found(i, g)), reached))
+    rows = _once(rows, "whole", F.filter(F.when(F.size("lines") > 1, F.array(found(F.lit(-1), F.array_distinct("all")))).otherwise(F.array().cast("array<struct<line_no:int,dice:double>>")), reached))
+    rows = _windows(rows, threshold)
+    return rows.select("doc_id", "license", F.explode(F.concat("own", "whole", "windows")).alias("m")).select("doc_id", "m.line_no", "license", "m.dice")
+
+
+def _windows(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` with ``windows``: best stretches of words, apart from each other and from lines and texts that match as such.
+
+    A stretch that starts on a bigram of the template right behind another is
+    never better than the one from there, so only the first of each are tried,
+    and every end of each, up to ``most`` bigrams on.
+    """
+    none = F.array().cast("array<struct<line_no:int,dice:double>>")
+    before = lambda i: F.slice("all", F.greatest(F.lit(1), i - F.col("most") + 2), F.least(i, F.col("most") - 1))
+    rows = _once(rows, "met", F.array_intersect("all", "grams"))
+    items = F.transform("all", lambda x, i: F.struct(F.array_contains("met", x).alias("hit"), F.array_position(F.reverse(before(i)), x).alias("gap")))
+    rows = _once(rows, "items", F.when(F.size("whole") == 0, items).otherwise(F.array().cast("array<struct<hit:boolean,gap:bigint>>")))
+    item = lambda p: F.get("items", p)
+    starts = F.filter(F.sequence(F.lit(0), F.size("items")), lambda p: F.coalesce(item(p)["hit"], F.lit(False)) & ~F.coalesce(item(p - 1)["hit"], F.lit(False)))
+    best = F.transform(starts, lambda p: F.struct(p.alias("p"), _best_run(F.slice("items", p + 1, F.col("most"))).alias("b")))
+    best = F.filter(best, lambda m: m["b"]["dice"] >= threshold)
+    rows = _once(rows, "best", F.transform(best, lambda m: F.struct((-m["b"]["dice"]).alias("worse"), m["p"].alias("first"), (m["p"] + m["b"]["length"]).alias("last"))))
+    rows = _once(rows, "at", F.flatten(F.transform("lines", lambda w, i: F.array_repeat(i, F.size(w)))))
+    apart = F.filter("best", lambda m: ~F.exists("own", lambda o: o["line_no"].between(F.get("at", m["first"]), F.get("at", m["last"]))))
+    kept = F.aggregate(F.array_sort(apart), F.array().cast("array<struct<worse:double,first:int,last:int>>"), lambda s, m: F.when(F.exists(s, lambda o: (o["first"] <= m["last"]) & (m["first"] <= o["last"])), s).otherwise(F.concat(s, F.array(m))))
+    return rows.withColumn("windows", F.when(F.size("best") > 0, F.transform(kept, lambda m: F.struct(F.get("at", m["first"]).alias("line_no"), (-m["worse"]).alias("dice")))).otherwise(none))
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same matches in DuckDB's SQL."""
+    """The matches of lines and whole texts with ``templates`` in DuckDB's SQL; it has no windows and no full texts."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted(templates.items()))
     return f"""

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -60,6 +62,39 @@ def test_license_scan(spark, docs, none):
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(none).count() == 0
 
 
+def test_license_scan_full_texts_and_wrapped_notices(spark):
+    known = license_scan.all_templates()
+    code = "\n".join(f"x{i} = compute({i}, value)" for i in range(30))
+    wrapped = textwrap.fill(license_scan.TEMPLATES["mit-grant"], 76)
+    cases = [known["mit-text"], wrapped + "\n" + code, code.replace("\n", " ") + " " + known["isc-text"].replace("\n", " ") + code, code + "\n# " + wrapped.replace("\n", "\n# ") + "\n" + code + "\n" + wrapped]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, r.line_no, r.license) for r in rows if r.dice == 1.0)
+    n = len(wrapped.split("\n"))
+    assert got == Counter([(0, -1, "mit-text"), (0, 4, "mit-grant"), (1, 0, "mit-grant"), (2, 0, "isc-text"), (2, 0, "isc-grant"), (3, 30, "mit-grant"), (3, 60 + n, "mit-grant")])
+
+
+def test_license_windows_equal_brute_force(spark):
+    rng = random.Random(9)
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    notice = [rng.choice("abcdefgh") for _ in range(14)]
+    most = math.ceil(13 * 1.5)
+    cases = [[x for w in notice for x in rng.choice([[w]] * 8 + [[], [w, "z"], ["y"]])] for _ in range(80)]
+    cases = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] + c + [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for c in cases]
+    expected = {}
+    for i, w in enumerate(cases):
+        best = max(dice(pairs(w[a:b]), pairs(notice)) for a in range(len(w)) for b in range(a + 2, min(len(w), a + 1 + most) + 1))
+        if best >= 0.8:
+            expected[i] = best
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame([(i, "\n".join(w)) for i, w in enumerate(cases)], "doc_id long, text string"), {"own": " ".join(notice)}).collect():
+        if r.line_no >= 0:
+            got[r.doc_id] = max(r.dice, got.get(r.doc_id, 0))
+        else:
+            expected.pop(r.doc_id)
+    assert got == pytest.approx(expected) and len(expected) > 10
+
+
 def best_fit(items, capacity):
     bins = []
     for x in sorted(items, reverse=True):
