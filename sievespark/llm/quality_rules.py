@@ -21,12 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievespark.llm.common import append_columns, bound_batches, bounded_ids, slices, texts_of
+from sievespark.llm.common import append_columns, bound_batches, slices, texts_of
 from sievespark.llm.words import Words, segment_sums, shingles
 
 BUCKETS = 1 << 14
-#: Trusted documents that the target multinomial counts at most.
-TRUSTED_BOUND = 20_000
 THRESHOLD = -0.3
 SMOOTHING = 1.0
 MIN_WORDS = 20
@@ -73,15 +71,18 @@ def statistics(words: Words, texts: list[bytes | None]) -> dict[str, np.ndarray]
     return {"n_words": counts, "word_chars": within(_VISIBLE), "n_symbols": within(_SYMBOL), "n_dup_lines": dup, "n_repeat_words": repeated}
 
 
-def fit(docs: DataFrame, trusted: DataFrame, bound: int = TRUSTED_BOUND, buckets: int = BUCKETS) -> np.ndarray:
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log(target / raw) of each bucket; ``trusted``: the ``doc_id`` of trusted documents.
 
-    Raw counts cover every document. The target counts a bounded sample of the
-    trusted ones, whose ids are broadcast. A task sends one row a bucket.
+    Raw counts cover every document, and the target every trusted one: texts
+    meet the ids in a shuffled join, rows without an id spread by their text.
+    A task sends one row a bucket.
     """
     bound_batches(docs.sparkSession)
-    ids = bounded_ids(trusted, bound).select(F.col("doc_id").alias("__id"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("trusted"))
+    ids = trusted.select(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("__zero")).where("__id is not null").distinct()
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    texts = docs.select("doc_id", "text", spread.alias("__spread"))
+    marked = texts.join(ids.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__spread") == F.col("__zero")), "left").select("text", F.col("__id").isNotNull().alias("trusted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)

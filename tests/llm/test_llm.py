@@ -187,6 +187,13 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.judge(none, quality_rules.fit(none, none)).count() == 0
 
 
+def test_quality_rules_count_every_trusted_document(spark):
+    many = spark.range(25_000).selectExpr("id AS doc_id", "sha2(string(id), 256) AS text")
+    trusted = many.select("doc_id").union(many.select("doc_id").limit(9)).union(spark.sql("SELECT bigint(null)"))
+    assert not quality_rules.fit(many, trusted).any()
+    assert quality_rules.fit(many.union(spark.sql("SELECT bigint(null), repeat('no id ', 99)")), trusted).any()
+
+
 def deduped(rows):
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(strip))
