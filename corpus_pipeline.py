@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievespark.llm import langid, line_dedup, near_dup, packing, quality_rules
-from sievespark.llm.common import scratch_dir
+from sievespark.llm.common import free_name, materialize, scratch_dir
 from sievespark.llm.queries import tokenizer_path
 
 
@@ -45,9 +45,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    """One row of each group stays: the one with the least id, a null id being the last; of rows that share it, one."""
+    row = free_name(docs, "row_key")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    gone = near_dup.near_duplicates(keyed.select(key.alias("doc_id"), "text")).where("not kept").select(F.col("doc_id.row").alias("gone_row"))
+    return keyed.join(gone, F.col(row) == F.col("gone_row"), "left_anti").drop(row)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -340,3 +340,14 @@ def test_pipeline(spark, docs, tmp_path):
         if k < 4:
             assert now.columns == columns and 0 < now.count() <= before
     assert now.count() and "sequence_id" in now.columns
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(6))
+    rows = [(1, a), (None, a + " end"), (None, b), (None, None), (2, c), (2, c), (3, d), (3, a + " more"), (None, e), (None, e), (5, f), (4, f + " end"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect())
+    assert kept == Counter([(1, a), (None, b), (None, None), (2, c), (3, d), (None, e), (4, f + " end"), (5, "")])
