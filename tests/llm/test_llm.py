@@ -257,13 +257,41 @@ def test_bpe(docs, none):
     rng = random.Random(4)
     odd = ["a   b", "\n \n", "a \nb ", "  x", " a  ", "tab\t b", "\xa0x   y", "日本語 🎉 ok", "ab" * 300 + " c", "'s don't'll", "x\r\n y\n\n\nz"]
     odd += ["".join(rng.choice(" ab\n\t.1é'日") for _ in range(rng.randint(1, 40))) for _ in range(300)]
-    for x, (ids, decoded) in zip(odd, bpe.Codec(path, tokens.PATTERN).encode([x.encode() for x in odd]), strict=True):
+    codec = bpe.Codec(path, tokens.PATTERN)
+    coded = codec.encode([x.encode() for x in odd])
+    for x, ids, decoded in zip(odd, coded, codec.decode([bpe.ids_of(c) for c in coded]), strict=True):
         assert ids.decode() == ",".join(map(str, library.encode_ordinary(x))) and decoded == x.encode()
     rows = bpe.decode(bpe.encode(docs, path, tokens.PATTERN), path, tokens.PATTERN).collect()
     assert all(r.tokens == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() for r in rows)
     assert bpe.digests(none, path, tokens.PATTERN).count() == 0
 
 
+def test_bpe_long_words_and_other_patterns():
+    """Words of thousands of bytes, in bounded rounds and with every pair alone or not; a pattern that can't be cut at spaces."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path = tokens.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    long = ["x" * 5001, "ab" * 3000, "日本語" * 700, "aaab" * 900, "é" * 301]
+    long += ["".join(rng.choice(a) for _ in range(rng.randint(65, 2500))) for a in ("ab", "esti", "abcdefghijklmnopqrstuvwxyz", "inginterationed", "日本語中国")]
+    codec = bpe.Codec(path, tokens.PATTERN)
+    assert [c.decode() for c in codec.encode([x.encode() for x in long])] == [",".join(map(str, library.encode_ordinary(x))) for x in long]
+    pattern = r"\w+ \w+|[\s\S]"
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    cases = ["one two three", "a  b c", "x", " "]
+    assert [c.decode() for c in bpe.Codec(path, pattern).encode([x.encode() for x in cases])] == [",".join(map(str, other.encode_ordinary(x))) for x in cases]
+
+
+def test_bpe_memory_is_bounded():
+    path = tokens.path("byte_bpe_multi_50k.tiktoken")
+    codec = bpe.Codec(path, tokens.PATTERN)
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=240)) for _ in range(1_200)]
+    assert codec.decode([bpe.ids_of(c.encode()) for c in codec.contract(words)]) == [w.encode() for w in words]
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 600
     rows = [(1, "http://a", big), (2, None, big), (3, "http://b b", "small"), (4, "http://c", "small"), (5, "u", None), (6, "u", ""), (None, "n", big), (2, "again", big)]
