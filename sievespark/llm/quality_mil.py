@@ -1,20 +1,27 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words. Each passage of the whole
-text is described by the kinds of its bytes and their neighbours and by how its words repeat,
-and encoded by a small network; gated attention weighs the passages, learnt
-from document labels alone, and the weighted sum is scored. The model is
-trained on the driver from a bounded sample of labelled documents
-(``TRAIN_BOUND``, a parameter); scoring is a map over all documents.
+text is described by its words, hashed into buckets with learnt vectors, by the
+kinds of its bytes and their neighbours and by how its words repeat, and
+encoded by a small network; gated attention weighs the passages, learnt from
+document labels alone, and the weighted sum is scored. The model is trained on
+the driver from a bounded sample of labelled documents, each with all its
+passages: at most ``TRAIN_BOUND`` documents and ``TRAIN_BYTES`` of text, in the
+order of a hash of their ids; documents that would exceed the bytes are passed
+over. Scoring is a map over all documents.
 
 Null or empty text: one passage without a word, scored like any other. Labels
-other than 0 and 1 are ignored; a document with both counts as 1. Without both classes the score is the
-share of label 1, or 0.5 without labels. Repeated rows score alike.
+other than 0 and 1 are ignored; a document with both counts as 1. Of rows that
+repeat a labelled id, the least text is learnt from. Without both classes the
+score is the share of label 1, or 0.5 without labels. Equal texts score alike
+to the last bit, wherever they lie: sums run in an order of their own document.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievespark.llm.common import append_columns, bounded_ids, texts_of
+from sievespark.llm.common import append_columns, bounded_ids, materialize, texts_of
 from sievespark.llm.words import Words
 
 PASSAGE = 96
 TRAIN_BOUND = 3000
-#: Passages of a training document that are learnt from at most: an even spread over the text. Scoring takes all.
-TRAIN_PASSAGES = 64
+TRAIN_BYTES = 16 << 20
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
+BUCKETS = 1 << 11
 
 _KINDS = 10
 _kind = np.full(256, 9)
@@ -40,8 +47,25 @@ for _b in range(128):
 FEATURES = _KINDS * _KINDS + 6
 
 
-def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the passages of each text (float32), and the bounds of each text's."""
+@dataclass
+class Bags:
+    """Passages of some texts: dense features ``x`` of each, ``words`` (buckets) between ``word_bounds``, and the ``bounds`` of each text's passages."""
+
+    x: np.ndarray
+    words: np.ndarray
+    word_bounds: np.ndarray
+    bounds: np.ndarray
+
+    def take(self, chosen: np.ndarray) -> Bags:
+        """The bags of some texts."""
+        rows = np.concatenate([np.arange(self.bounds[i], self.bounds[i + 1]) for i in chosen])
+        sizes = np.diff(self.word_bounds)[rows]
+        ends = np.cumsum(sizes)
+        words = self.words[np.repeat(self.word_bounds[rows] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return Bags(self.x[rows], words, np.concatenate(([0], ends)), np.concatenate(([0], np.cumsum(np.diff(self.bounds)[chosen]))))
+
+
+def passages(texts: list[bytes | None]) -> Bags:
     words = Words(texts)
     counts = np.diff(words.first)
     per = np.maximum(-(-counts // PASSAGE), 1)
@@ -57,14 +81,15 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     passage = np.repeat(np.arange(total), sizes)
     kinds = _kind[words.bytes]
     where = np.repeat(at - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
-    pairs = np.bincount(passage * _KINDS * _KINDS + kinds[where] * _KINDS + kinds[where + 1], minlength=total * _KINDS * _KINDS).reshape(total, -1)
-    out = np.zeros((total, FEATURES), np.float32)
+    following = np.where(np.repeat(end, sizes) > where + 1, kinds[where + 1], 3)  # the end of a passage counts as a space
+    pairs = np.bincount(passage * _KINDS * _KINDS + kinds[where] * _KINDS + following, minlength=total * _KINDS * _KINDS).reshape(total, -1)
+    out = np.zeros((total, FEATURES))
     out[:, : _KINDS * _KINDS] = np.sqrt(pairs / np.maximum(sizes, 1)[:, None])
-    if len(words.starts):
-        hashes = words.hashes()
-        word_doc = words.doc
-        of = bounds[word_doc] + (np.arange(len(word_doc)) - words.first[word_doc]) // PASSAGE
-        n = np.bincount(of, minlength=total)
+    hashes = words.hashes()
+    word_doc = words.doc
+    of = bounds[word_doc] + (np.arange(len(word_doc)) - words.first[word_doc]) // PASSAGE
+    n = np.bincount(of, minlength=total)
+    if len(hashes):
         order = np.lexsort((hashes, of))
         new = np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]) | (of[order][1:] != of[order][:-1])))
         distinct = np.bincount(of[order][new], minlength=total)
@@ -72,7 +97,25 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         length = np.bincount(of, words.ends - words.starts, minlength=total)
         m = np.maximum(n, 1)
         out[:, -6:] = np.stack([distinct / m, np.bincount(of, same_next, minlength=total) / m, np.log1p(n) / 5, length / m / 10, np.log1p(counts[doc]) / 8, has], 1)
-    return out, bounds
+    buckets = (hashes >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+    return Bags(out, buckets, np.concatenate(([0], np.cumsum(n))), bounds)
+
+
+def segments(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[bounds[i] : bounds[i + 1]]``, 0 where empty."""
+    out = np.zeros((len(bounds) - 1, *rows.shape[1:]))
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[full] = np.add.reduceat(rows, bounds[full])
+    return out
+
+
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w``, each row added up in the order of its columns: the library's product depends on the row's place."""
+    out = np.zeros((x.shape[0], w.shape[1]))
+    for column, weights in zip(np.ascontiguousarray(x.T), w, strict=True):
+        out += column[:, None] * weights
+    return out
 
 
 class Attention:
@@ -80,48 +123,51 @@ class Attention:
 
     def __init__(self, width: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        init = lambda a, b: (rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
-        self.p = {"W": init(width, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": init(HIDDEN, GATE), "U": init(HIDDEN, GATE), "w": init(GATE, 1), "c": init(HIDDEN, 1), "d": np.zeros(1, np.float32)}
-        self.mean, self.scale = np.zeros(width, np.float32), np.ones(width, np.float32)
-
-    def forward(self, x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
-        h = np.tanh(x @ p["W"] + p["b"])
-        t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = ((t * s) @ p["w"])[:, 0]
-        e = np.exp(e - np.repeat(np.maximum.reduceat(e, bounds[:-1]), np.diff(bounds)))
-        a = e / np.repeat(np.add.reduceat(e, bounds[:-1]), np.diff(bounds))
+        init = lambda a, b: rng.standard_normal((a, b)) / np.sqrt(a)
+        self.p = {"W": init(width, HIDDEN), "E": np.zeros((BUCKETS, HIDDEN)), "b": np.zeros(HIDDEN), "V": init(HIDDEN, GATE), "U": init(HIDDEN, GATE), "w": init(GATE, 1), "c": init(HIDDEN, 1), "d": np.zeros(1)}
+        self.mean, self.scale = np.zeros(width), np.ones(width)
+
+    def forward(self, bags: Bags, dot: Callable[[np.ndarray, np.ndarray], np.ndarray] = product) -> dict[str, np.ndarray]:
+        p, bounds, sizes = self.p, bags.bounds, np.diff(bags.bounds)
+        x = np.clip((bags.x - self.mean) / self.scale, -8, 8)
+        share = 1 / np.sqrt(np.maximum(np.diff(bags.word_bounds), 1))[:, None]
+        h = np.tanh(dot(x, p["W"]) + segments(p["E"][bags.words], bags.word_bounds) * share + p["b"])
+        t, s = np.tanh(dot(h, p["V"])), 1 / (1 + np.exp(-dot(h, p["U"])))
+        e = dot(t * s, p["w"])[:, 0]
+        e = np.exp(e - np.repeat(np.maximum.reduceat(e, bounds[:-1]), sizes))
+        a = e / np.repeat(np.add.reduceat(e, bounds[:-1]), sizes)
         z = np.add.reduceat(a[:, None] * h, bounds[:-1])
-        y = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))[:, 0]
-        return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "y": y}
+        y = 1 / (1 + np.exp(-np.clip(dot(z, p["c"]) + p["d"], -30, 30)))[:, 0]
+        return {"x": x, "share": share, "h": h, "t": t, "s": s, "a": a, "z": z, "y": y}
 
-    def gradients(self, x: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        p, f, sizes = self.p, self.forward(x, bounds), np.diff(bounds)
-        dlogit = ((f["y"] - labels) / len(labels))[:, None].astype(np.float32)
+    def gradients(self, bags: Bags, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy."""
+        p, f, sizes = self.p, self.forward(bags, np.matmul), np.diff(bags.bounds)
+        dlogit = ((f["y"] - labels) / len(labels))[:, None]
         dz = np.repeat(dlogit @ p["c"].T, sizes, 0)
         da = (dz * f["h"]).sum(1)
-        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, bounds[:-1]), sizes))
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, bags.bounds[:-1]), sizes))
         dg = de[:, None] * p["w"].T
         dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * f["t"] * f["s"] * (1 - f["s"])
         dh = (f["a"][:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
-        return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de[:, None], "c": f["z"].T @ dlogit, "d": dlogit.sum(0)}
+        of_word = np.repeat(dh * f["share"], np.diff(bags.word_bounds), 0)
+        order = np.argsort(bags.words, kind="stable")
+        dE = segments(of_word[order], np.searchsorted(bags.words[order], np.arange(BUCKETS + 1)))
+        return {"W": f["x"].T @ dh, "E": dE, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de[:, None], "c": f["z"].T @ dlogit, "d": dlogit.sum(0)}
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int, seed: int, batch: int = 64, rate: float = 0.004, decay: float = 1e-4) -> None:
+    def fit(self, bags: Bags, labels: np.ndarray, epochs: int, seed: int, batch: int = 64, rate: float = 0.004, decay: float = 1e-4) -> None:
         rng = np.random.default_rng(seed)
-        both = np.concatenate(bags)
-        self.mean, self.scale = both.mean(0), both.std(0) + 0.05
+        self.mean, self.scale = bags.x.mean(0), bags.x.std(0) + 0.05
         m, v, step = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for _ in range(epochs):
-            order = rng.permutation(len(bags))
+            order = rng.permutation(len(labels))
             for i in range(0, len(order), batch):
                 chosen = order[i : i + batch]
-                x, bounds = np.concatenate([bags[j] for j in chosen]), np.concatenate(([0], np.cumsum([len(bags[j]) for j in chosen])))
                 step += 1
-                for k, g in self.gradients(x, bounds, labels[chosen]).items():
+                for k, g in self.gradients(bags.take(chosen), labels[chosen]).items():
                     g = g + decay * self.p[k]
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
 class Constant:
@@ -130,31 +176,33 @@ class Constant:
     def __init__(self, score: float) -> None:
         self.score = score
 
-    def forward(self, x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-        return {"y": np.full(len(bounds) - 1, self.score)}
+    def forward(self, bags: Bags) -> dict[str, np.ndarray]:
+        return {"y": np.full(len(bags.bounds) - 1, self.score)}
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, bound: int = TRAIN_BOUND, epochs: int = 12, seed: int = 7) -> Attention | Constant:
-    """A model of ``labels`` (doc_id, quality) from ``text`` of ``docs``; ``training``: condition on ``doc_id`` of the rows it may learn from."""
+def training_sample(docs: DataFrame, labels: DataFrame, training: Column | None, bound: int, most_bytes: int) -> list[tuple[bytes, int]]:
+    """Text and label of the documents that are learnt from."""
     known = labels.where(F.col("quality").isin(0, 1) & (F.lit(True) if training is None else training)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.join(F.broadcast(bounded_ids(known, bound)), "doc_id").select(F.col("doc_id").alias("__id"), "quality")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    sample = materialize(sample.groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    took, total = [], 0
+    for doc_id, size in sample.select("doc_id", F.octet_length("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most ``bound`` rows
+        if total + size <= most_bytes:
+            took.append(doc_id)
+            total += size
+    rows = sample.where(F.col("doc_id").isin(took)).orderBy("doc_id").collect()
+    return [(r.text.encode(), int(r.quality)) for r in rows]
 
-    def run(batch: pa.RecordBatch) -> list:
-        x, bounds = passages(texts_of(batch))
-        out = []
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            own = x[i:j] if j - i <= TRAIN_PASSAGES else x[np.linspace(i, j - 1, TRAIN_PASSAGES).astype(int)]
-            out.append(own.tobytes())
-        return [out]
-
-    got = append_columns(sample.select("doc_id", "quality", "text"), [T.StructField("bag", T.BinaryType())], run).select("doc_id", "quality", "bag").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("bag", "ascending")]) if got.num_rows else got
-    y = got.column("quality").to_numpy().astype(np.float32)
+
+def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, bound: int = TRAIN_BOUND, epochs: int = 12, seed: int = 7, most_bytes: int = TRAIN_BYTES) -> Attention | Constant:
+    """A model of ``labels`` (doc_id, quality) from ``text`` of ``docs``; ``training``: condition on ``doc_id`` of the rows it may learn from."""
+    sample = training_sample(docs, labels, training, bound, most_bytes)
+    y = np.array([q for _, q in sample], float)
     if not len(y) or len(np.unique(y)) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
     model = Attention(FEATURES, seed)
-    model.fit([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got.column("bag").to_pylist()], y, epochs, seed)
+    model.fit(passages([t for t, _ in sample]), y, epochs, seed)
     return model
 
 
@@ -168,7 +216,7 @@ def score(docs: DataFrame, model: Attention | Constant, threshold: float = THRES
             opened.append(pickle.loads(shared.value))
         texts, out = texts_of(batch), []
         for i in range(0, len(texts), 256):
-            out.append(opened[0].forward(*passages(texts[i : i + 256]))["y"].astype(np.float64))
+            out.append(opened[0].forward(passages(texts[i : i + 256]))["y"])
         y = np.concatenate(out) if out else np.empty(0)
         return [pa.array(y), pa.array((y >= threshold).astype(np.int32))]
 

@@ -160,6 +160,41 @@ def test_quality_classifier(spark, none):
     assert quality_mil.score(df, quality_mil.train(df, df.limit(0))).first().score == 0.5
 
 
+def test_quality_classifier_gradients():
+    rng = np.random.default_rng(3)
+    bags = quality_mil.passages([t.encode() if t else t for t in texts(12)])
+    model, labels = quality_mil.Attention(quality_mil.FEATURES, 1), rng.integers(0, 2, len(bags.bounds) - 1).astype(float)
+    model.p = {k: v + 0.1 * rng.standard_normal(v.shape) for k, v in model.p.items()}
+    loss = lambda: -np.mean(np.log(np.where(labels > 0, y := model.forward(bags)["y"], 1 - y)))  # noqa: E731, F821
+    for name, g in model.gradients(bags, labels).items():
+        used = np.argsort(-np.abs(g).ravel())[:5]
+        for i in used:
+            at, keep = np.unravel_index(i, g.shape), model.p[name].copy()
+            model.p[name][at] = keep[at] + 1e-6
+            up = loss()
+            model.p[name][at] = keep[at] - 1e-6
+            assert g[at] == pytest.approx((up - loss()) / 2e-6, rel=1e-4, abs=1e-8)
+            model.p[name] = keep
+
+
+def test_quality_classifier_scores_equal_texts_alike(spark, docs):
+    """In any place of any partitioning, to the last bit; whole documents are learnt from."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality_mil.train(docs, labels, epochs=2)
+    own = docs.select("doc_id", "text")
+    many = own.union(own).union(own.where("doc_id > 30"))
+    by_text: dict = {}
+    for df in (many.repartition(1), many.repartition(7), own.orderBy(own.doc_id.desc()).coalesce(1)):
+        for r in quality_mil.score(df, model).collect():
+            by_text.setdefault(r.text or "", set()).add(r.score)
+    assert all(len(s) == 1 for s in by_text.values()) and len(set.union(*by_text.values())) > 20
+    long = [t for t in texts() if t and len(t) > 15_000]
+    sample = quality_mil.training_sample(docs, labels, None, 100, 1 << 20)
+    assert {t for t, _ in sample} >= {t.encode() for t in long}
+    small = quality_mil.training_sample(docs, labels, None, 100, 5_000)
+    assert 0 < sum(len(t) for t, _ in small) <= 5_000 and {t for t, _ in small} <= {t for t, _ in sample}
+
+
 def test_quality_rules(spark, docs, none):
     ratios = quality_rules.fit(docs, docs.where("doc_id > 10"))
     rows = quality_rules.judge(docs, ratios).collect()
