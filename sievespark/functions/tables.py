@@ -67,6 +67,13 @@ PII = (
     ("iban", r"(?U)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "iban"),
 )
 
+#: What a hit of each holds: a character, or a regex that is quickly tried at every place. All but e-mail, IPv6 and MAC addresses hold a digit.
+PII_HOLDS = {
+    "email": "@", "phone_e164": "+", "ipv4": r"(?U)\d\.\d", "ssn_us": r"(?U)\d-\d", "credit_card": r"(?U)\d[ -]?\d[ -]?\d[ -]?\d",
+    "iban": r"(?U)[A-Z]\d\d", "ipv6": "[A-Fa-f0-9]:[A-Fa-f0-9]", "mac": "[A-Fa-f0-9][:-][A-Fa-f0-9]",
+}
+PII_WITHOUT_DIGITS = ("email", "ipv6", "mac")
+
 TEMPLATE_SHAPES = (
     ("pipe_sentinel", r"<\|([A-Za-z]{3,16})\|>"),
     ("angle_sentinel", r"<<([A-Za-z]{3,16})>>"),
@@ -87,14 +94,14 @@ SCRIPTS = (
     ("cjk", ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF))),
 )
 
-#: (id, pattern, confidence) of credentials whose shapes their vendors document; the table is this library's own
+#: (id, pattern, confidence, what a hit holds) of credentials whose shapes their vendors document; the table is this library's own
 SECRETS = (
-    ("openai_key", r"sk-(?:proj-)?[A-Za-z0-9_-]{20,}", 2),
-    ("aws_access_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}", 2),
-    ("github_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 2),
-    ("google_api_key", r"AIza[A-Za-z0-9_-]{35}", 2),
-    ("slack_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 2),
-    ("stripe_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", 2),
-    ("private_key_pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 2),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", 1),
+    ("openai_key", r"sk-(?:proj-)?[A-Za-z0-9_-]{20,}", 2, ("sk-",)),
+    ("aws_access_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}", 2, ("AKIA", "ASIA")),
+    ("github_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 2, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    ("google_api_key", r"AIza[A-Za-z0-9_-]{35}", 2, ("AIza",)),
+    ("slack_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 2, ("xox",)),
+    ("stripe_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", 2, ("k_live_", "k_test_")),
+    ("private_key_pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 2, ("-----BEGIN ",)),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", 1, ("eyJ",)),
 )

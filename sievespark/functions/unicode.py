@@ -45,7 +45,8 @@ def script_sets(spark: SparkSession) -> dict[int, frozenset[str]]:
         for code in range(2, 210):
             try:
                 name = script.getShortName(code)
-                pattern = jvm.com.ibm.icu.text.UnicodeSet(f"[:scx={name}:]").toPattern(True)
+                # the set keeps the pattern it was made of until it changes
+                pattern = jvm.com.ibm.icu.text.UnicodeSet(f"[:scx={name}:]").complement().complement().toPattern(True)
             except Exception:  # codes beyond those that this version of Unicode assigns
                 continue
             for lo, hi in _ranges(pattern):

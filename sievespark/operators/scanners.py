@@ -1,11 +1,13 @@
 """Scanners: each turns a string column into an array of matches, in built-in functions.
 
-``matches(null)`` is null. Array order is pattern order, then position.
+``matches(null)`` is null. Array order is pattern order, then position. Cheap
+conditions that every hit implies keep the regexes away from most texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sievespark import schema as S
 from sievespark.functions import tables, text as X
-from sievespark.functions.positions import find_all
+from sievespark.functions.positions import any_of, bound, find_all
 
 
 class Scanner(Protocol):
@@ -36,8 +38,48 @@ def _passes(check):
     return lambda s: check(s["text"])
 
 
-def _quoted(phrase: str) -> str:
-    return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", phrase)
+def _session() -> SparkSession:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("no active session to read the Unicode tables with")
+    return spark
+
+
+def _either(c: str) -> str:
+    return c.upper() + c.lower() if c.isascii() and c.isalpha() else re.sub(r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])", r"\\\1", c)
+
+
+def phrase_regex(phrases: tuple[str, ...]) -> str:
+    """A regex of ASCII case-insensitive phrases, of which the first in the table wins at a place: a tree by shared beginnings.
+
+    A phrase that begins with one before it in the table can't win, so it is left out.
+    """
+    root: dict = {}
+    for phrase in phrases:
+        at, dead = root, False
+        for c in _ascii_lower(phrase):
+            dead = dead or None in at
+            at = at.setdefault(c, {}) if not dead else {}
+        if not dead:
+            at[None] = True  # what is below has come before
+
+    def spelt(node: dict) -> str:
+        parts = [f"[{_either(c)}]" + spelt(below) for c, below in node.items() if c is not None]
+        if None in node:
+            parts.append("")
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return "(?=[" + "".join(map(_either, root)) + "])" + spelt(root)
+
+
+def covering(phrases: tuple[str, ...], least: int = 6) -> tuple[str, ...]:
+    """A few lower-case pieces, such that each phrase holds one of them."""
+    left, out = {_ascii_lower(p) for p in phrases}, []
+    while left:
+        pieces = Counter(q for p in left for q in {p[i : i + least] for i in range(max(1, len(p) - least + 1))})
+        out.append(max(pieces, key=lambda q: (pieces[q], len(q), q)))
+        left = {p for p in left if out[-1] not in p}
+    return tuple(out)
 
 
 @dataclass(frozen=True)
@@ -52,7 +94,8 @@ class BanSubstrings:
     def matches(self, text: Column) -> Column:
         if not self.patterns or "" in self.patterns:
             raise ValueError("phrases must not be empty")
-        spans = find_all(text, "(?i)(?:" + "|".join(map(_quoted, self.patterns)) + ")")
+        gate = any_of(text, covering(self.patterns), lower=True) if all(p.isascii() for p in self.patterns) else None
+        spans = find_all(text, phrase_regex(self.patterns), gate)
         entries: dict[str, str] = {}
         for p in self.patterns:
             entries.setdefault(_ascii_lower(p), p)
@@ -88,7 +131,8 @@ class InvisibleText:
     name: str = "invisible_text"
 
     def matches(self, text: Column) -> Column:
-        spans = find_all(text, "[" + "".join(c for c, _ in tables.INVISIBLE) + "]")
+        chars = tuple(c for c, _ in tables.INVISIBLE)
+        spans = find_all(text, "[" + "".join(chars) + "]", (F.octet_length(text) > F.char_length(text)) & any_of(text, chars))
         names = F.create_map(*[F.lit(v) for e in tables.INVISIBLE for v in e])
         return _each(spans, lambda s: S.match(self.name, F.element_at(names, s["text"]), s["start"], s["end"], s["text"], S.HIGH, S.BLOCK))
 
@@ -110,17 +154,21 @@ class TokenLimit:
 
 @dataclass(frozen=True)
 class RegexPattern:
-    """A caller's Java regex. Java backtracks, so a pattern should not be able to explode."""
+    """A caller's Java regex. Java backtracks, so a pattern should not be able to explode.
+
+    ``holds``: substrings of which every hit holds one, for a cheap test before the regex.
+    """
 
     id: str
     regex: str
     severity: int = S.WARN
     confidence: int = S.MEDIUM
+    holds: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class RegexScan:
-    """All hits of each pattern in turn. Patterns are compiled at construction and must not match the empty string."""
+    """All hits of each pattern in turn, empty ones included where they don't touch the hit before. Patterns are compiled at construction."""
 
     name: str
     patterns: tuple[RegexPattern, ...]
@@ -129,14 +177,14 @@ class RegexScan:
         spark = SparkSession.getActiveSession()
         for p in self.patterns:
             if spark is not None:
-                compiled = spark.sparkContext._jvm.java.util.regex.Pattern.compile(p.regex)
-                if compiled.matcher("").find():
-                    raise ValueError(f"{p.id} matches the empty string")
-            elif re.compile(p.regex).search(""):
-                raise ValueError(f"{p.id} matches the empty string")
+                spark.sparkContext._jvm.java.util.regex.Pattern.compile(p.regex)
+            else:
+                re.compile(p.regex)
 
     def matches(self, text: Column) -> Column:
-        found = [_each(find_all(text, p.regex), _named(self.name, p.id, p.confidence, p.severity)) for p in self.patterns]
+        # no hit begins within a character that Java writes as two units
+        whole = lambda p: f"(?![\\x{{DC00}}-\\x{{DFFF}}])(?:{p.regex})"
+        found = [_each(find_all(text, whole(p), any_of(text, p.holds) if p.holds else None), _named(self.name, p.id, p.confidence, p.severity)) for p in self.patterns]
         return F.concat(*found) if found else F.when(text.isNotNull(), S.no_matches())
 
 
@@ -170,24 +218,22 @@ class ScriptMix:
     name: str = "script_mix"
 
     def matches(self, text: Column) -> Column:
-        plain = F.regexp_replace(text, f"(?U)[{_NEUTRAL}]", "")
-        count = lambda inside: F.char_length(plain) - F.char_length(F.regexp_replace(plain, f"[{inside}]", ""))
         known = [(name, _class(r)) for name, r in tables.SCRIPTS]
         all_known = "".join(c for _, c in known)
-        counts = {name: count(c) for name, c in known}
-        counts["other"] = F.char_length(F.regexp_replace(plain, f"[{all_known}]", ""))
-        ordered = [*((n, c) for n, c in known), ("other", f"^{all_known}{_NEUTRAL}")]
-        most = F.greatest(*counts.values())
-        out = F.when(text.isNotNull(), S.no_matches())
-        branches = None
-        for name, inside in ordered:
-            own = counts[name]
-            foreign = f"(?U)[^{inside}{_NEUTRAL}]+" if name != "other" else f"[{all_known}]+"
-            spans = find_all(text, foreign)
-            hits = _each(spans, lambda s: S.match(self.name, _script_of(F.left(s["text"], F.lit(1)), known), s["start"], s["end"], s["text"], S.MEDIUM, S.WARN))
-            value = F.when(F.char_length(plain) - own > self.threshold, hits).otherwise(S.no_matches())
-            branches = F.when(text.isNull(), F.lit(None).cast(S.MATCHES)).when((own == most) & (own > 0), value) if branches is None else branches.when((own == most) & (own > 0), value)
-        return branches.otherwise(out)
+        foreign = [f"(?U)[^{inside}{_NEUTRAL}]+" for _, inside in known] + [f"[{all_known}]+"]
+        without = lambda t, inside: F.char_length(F.regexp_replace(t, f"[{inside}]", ""))
+
+        def counted(plain: Column) -> Column:
+            own = [F.char_length(plain) - without(plain, inside) for _, inside in known]
+            return F.struct(F.char_length(plain).alias("all"), F.array(*own, without(plain, all_known)).alias("own"))
+
+        def judged(c: Column) -> Column:
+            most = F.array_max(c["own"])
+            first = F.array_position(c["own"], most).cast("int")  # of equals, the first in the table
+            spans = find_all(text, F.element_at(F.array(*[F.lit(f) for f in foreign]), first), c["all"] - most > max(self.threshold, 0))
+            return _each(spans, lambda s: S.match(self.name, _script_of(F.left(s["text"], F.lit(1)), known), s["start"], s["end"], s["text"], S.MEDIUM, S.WARN))
+
+        return F.when(text.isNotNull(), bound(bound(F.regexp_replace(text, f"(?U)[{_NEUTRAL}]", ""), counted), judged))
 
 
 def _script_of(char: Column, known) -> Column:
@@ -206,16 +252,22 @@ class PiiPatterns:
 
     def matches(self, text: Column) -> Column:
         checks = {"ssn": X.ssn_valid, "luhn": X.luhn_ok, "iban": X.iban_ok}
-        found = []
-        for key, regex, check in tables.PII:
-            if self.only and key not in self.only:
-                continue
-            spans = find_all(text, regex)
-            if check:
-                spans = F.filter(spans, _passes(checks[check]))
-            grade = (S.HIGH, S.BLOCK) if check else (S.MEDIUM, S.WARN)
-            found.append(_each(spans, _named(self.name, key, *grade)))
-        return F.concat(*found)
+
+        def scanned(seen: Column) -> Column:
+            found = []
+            for key, regex, check in tables.PII:
+                if self.only and key not in self.only:
+                    continue
+                holds = tables.PII_HOLDS[key]
+                gate = text.rlike(holds) if len(holds) > 1 else text.contains(holds)
+                spans = find_all(text, regex, gate if key in tables.PII_WITHOUT_DIGITS else seen & gate)
+                if check:
+                    spans = F.filter(spans, _passes(checks[check]))
+                grade = (S.HIGH, S.BLOCK) if check else (S.MEDIUM, S.WARN)
+                found.append(_each(spans, _named(self.name, key, *grade)))
+            return F.concat(*found)
+
+        return bound(text.rlike(r"(?U)\d"), scanned)
 
 
 @dataclass(frozen=True)
@@ -229,7 +281,7 @@ class TemplateMarkerShape:
         return TemplateMarkerShape((*self.allowed, *words), self.name)
 
     def matches(self, text: Column) -> Column:
-        spans = find_all(text, "(?mdU)(?:" + "|".join(p for _, p in tables.TEMPLATE_SHAPES) + ")")
+        spans = find_all(text, "(?mdU)(?:" + "|".join(p for _, p in tables.TEMPLATE_SHAPES) + ")", any_of(text, ("<|", "<<", "[", "###")))
         if self.allowed:
             words = F.array(*[F.lit(w.lower()) for w in self.allowed])
             spans = F.filter(spans, lambda s: ~F.array_contains(words, F.lower(F.regexp_extract(s["text"], "([A-Za-z]+)", 1))))
@@ -239,31 +291,38 @@ class TemplateMarkerShape:
 
 @dataclass(frozen=True)
 class UrlExtract:
-    """URLs as information, each followed by its host if that mixes scripts. ``spark``: gives the script tables; None leaves hosts unjudged."""
+    """URLs as information, each followed by its host if that mixes scripts. ``spark`` gives the script tables; by default the active session does."""
 
     spark: SparkSession | None = field(default=None, compare=False)
     name: str = "url_extract"
 
     def matches(self, text: Column) -> Column:
+        return self._scan(text, True)
+
+    def native(self, text: Column) -> Column:
+        """URLs alone: whether a host mixes scripts takes Python."""
+        return self._scan(text, False)
+
+    def _scan(self, text: Column, judge: bool) -> Column:
         from sievespark.operators.arrow import mixed_hosts
 
-        spans = F.transform(find_all(text, tables.URL), lambda s: F.struct(s["start"].alias("start"), X.trim_url_tail(s["text"]).alias("text")))
+        spans = F.transform(find_all(text, tables.URL, any_of(text, ("http://", "https://"))), lambda s: F.struct(s["start"].alias("start"), X.trim_url_tail(s["text"]).alias("text")))
         spans = F.filter(spans, lambda s: F.char_length(s["text"]) > 0)
         url = lambda s: S.match(self.name, F.lit("url"), s["start"], s["start"] + F.octet_length(s["text"]), s["text"], S.HIGH, S.INFO)
-        if self.spark is None:
-            return _each(spans, url)
         host = lambda s: F.regexp_extract(s["text"], "://([^/?#]*)", 1)
         begin = lambda s: s["start"] + F.octet_length(F.regexp_extract(s["text"], "^(.*?://)", 1))
-        hosts = F.transform(spans, host)
-        # ASCII hosts never leave the JVM
-        odd = F.when(F.exists(hosts, lambda h: F.octet_length(h) > F.char_length(h)), mixed_hosts(self.spark)(hosts)).otherwise(F.transform(hosts, lambda h: F.lit(False)))
-        both = F.zip_with(spans, odd, lambda s, o: F.when(o, F.array(url(s), S.match(self.name, F.lit("idn_homograph"), begin(s), begin(s) + F.octet_length(host(s)), host(s), S.HIGH, S.BLOCK))).otherwise(F.array(url(s))))
+        odd_host = r"https?://[^/?#\s]*[^\x{0}-\x{7F}/?#\s]"
+        if not judge:
+            return _each(spans, url)
+        # only texts with a host beyond ASCII go to Python
+        odd = F.coalesce(mixed_hosts(self.spark or _session())(F.when(text.rlike(odd_host), text)), F.array().cast("array<string>"))
+        both = F.zip_with(spans, F.array_repeat(odd, F.size(spans)), lambda s, o: F.when(F.array_contains(o, host(s)), F.array(url(s), S.match(self.name, F.lit("idn_homograph"), begin(s), begin(s) + F.octet_length(host(s)), host(s), S.HIGH, S.BLOCK))).otherwise(F.array(url(s))))
         return F.flatten(both)
 
 
 def secrets() -> RegexScan:
     """Credentials by the shapes that their vendors document."""
-    return RegexScan("secrets", tuple(RegexPattern(i, r, S.BLOCK, c) for i, r, c in tables.SECRETS))
+    return RegexScan("secrets", tuple(RegexPattern(i, r, S.BLOCK, c, holds) for i, r, c, holds in tables.SECRETS))
 
 
 def assigned_tokens() -> RegexScan:
@@ -282,29 +341,45 @@ class FuzzyMatch:
     name: str = "fuzzy_match"
 
     def matches(self, text: Column) -> Column:
+        from sievespark.operators.arrow import contained_phrases
+
         least = min(1.0, max(0.0, self.threshold))
-        own = X.trigrams(X.normalise(text))
-        hits = []
+        names = F.array(*[F.lit(key) for key, _ in self.corpus]) if self.corpus else F.array().cast("array<string>")
+        found = contained_phrases(tuple(phrase for _, phrase in self.corpus), least)(F.when(F.char_length(text) >= 12, X.normalise(text)))
+        return F.coalesce(F.transform(found, lambda i: self._whole(F.get(names, i), text)), F.when(text.isNotNull(), S.no_matches()))
+
+    def _whole(self, key: Column, text: Column) -> Column:
+        return S.match(self.name, key, F.lit(0), F.octet_length(text), text, self.confidence, self.severity)
+
+    def native(self, text: Column) -> Column:
+        """The same matches from built-in functions alone, which take longer."""
+        least, hits = min(1.0, max(0.0, self.threshold)), []
         for key, phrase in self.corpus:
             data = re.sub(r"\s+", " ", phrase.lower()).strip().encode()
             grams = sorted({data[i : i + 3].hex().upper() for i in range(len(data) - 2)})
             if grams:
-                hits.append((key, len(grams), F.array(*[F.lit(g) for g in grams])))
-        whole = lambda key: S.match(self.name, F.lit(key), F.lit(0), F.octet_length(text), text, self.confidence, self.severity)
+                hits.append((key, grams))
+        if not hits:
+            return F.when(text.isNotNull(), S.no_matches())
+        known = F.array(*[F.lit(g) for g in sorted({g for _, grams in hits for g in grams})])
 
-        def judged(o: Column) -> Column:
-            shared = lambda grams: F.size(F.array_intersect(o, grams))
-            checks = [F.when((shared(grams) >= 4) & ((shared(grams) / F.lit(size)).cast("float") >= F.lit(least).cast("float")), whole(key)) for key, size, grams in hits]
-            return F.filter(F.array(*checks), lambda m: m.isNotNull())
+        def judged(met: Column) -> Column:
+            shared = lambda grams: F.size(F.array_intersect(met, F.array(*[F.lit(g) for g in grams])))
+            share = lambda grams: (shared(grams) / F.lit(len(grams))).cast("float")
+            return F.filter(F.array(*[F.when((shared(g) >= 4) & (share(g) >= F.lit(least).cast("float")), self._whole(F.lit(key), text)) for key, g in hits]), lambda m: m.isNotNull())
 
-        # one-element transform: the trigrams are made once for all phrases
-        value = F.flatten(F.transform(F.array(own), judged)) if hits else S.no_matches()
-        return F.when(F.char_length(text) >= 12, value).when(text.isNotNull(), S.no_matches())
+        found = bound(F.array_intersect(X.trigrams(X.normalise(text)), known), judged)
+        return F.when(F.char_length(text) >= 12, found).when(text.isNotNull(), S.no_matches())
 
 
 @dataclass(frozen=True)
 class Deobfuscate:
-    """``inner`` over views of the text: unspaced, de-leeted, look-alikes folded, base64 decoded. ``spark`` gives the look-alike tables."""
+    """``inner`` over views of the text: unspaced, de-leeted, look-alikes folded, base64 decoded.
+
+    ``spark`` gives the look-alike tables; by default the active session does.
+    Decoded runs are scanned within an array, where Python can't be called: an
+    ``inner`` that uses it has a form ``native`` for them.
+    """
 
     inner: Scanner
     spark: SparkSession | None = field(default=None, compare=False)
@@ -317,21 +392,25 @@ class Deobfuscate:
     def matches(self, text: Column) -> Column:
         from sievespark.operators.arrow import folded
 
+        in_python = hasattr(self.inner, "native")
+
         def whole(view: Column) -> Column:
-            return F.transform(F.slice(self.inner.matches(view), 1, 1), lambda m: S.match(self.name, m["pattern"], F.lit(0), F.octet_length(text), text, S.HIGH, S.BLOCK, True))
+            found = self.inner.matches(view) if in_python else bound(view, self.inner.matches)
+            return F.transform(F.slice(found, 1, 1), lambda m: S.match(self.name, m["pattern"], F.lit(0), F.octet_length(text), text, S.HIGH, S.BLOCK, True))
 
         out = []
         if self.collapse_spaces:
             out.append(F.when(X.letter_spaced(text), whole(X.collapse_spacing(text))).otherwise(S.no_matches()))
         if self.leet:
             out.append(F.when(X.has_leet(text), whole(X.leet_fold(text))).otherwise(S.no_matches()))
-        if self.confusables and self.spark is not None:
-            view = F.when(F.octet_length(text) > F.char_length(text), folded(self.spark)(text))  # null where one script covers the text
+        if self.confusables:
+            view = folded(self.spark or _session())(F.when(F.octet_length(text) > F.char_length(text), text))  # null where one script covers the text
             out.append(F.coalesce(whole(view), S.no_matches()))
         if self.base64:
 
             def decoded(run: Column) -> Column:
-                inner = F.coalesce(self.inner.matches(X.decode_base64(run["text"])), S.no_matches())
+                scan = self.inner.native if in_python else self.inner.matches
+                inner = F.coalesce(bound(X.decode_base64(run["text"]), scan), S.no_matches())
                 return F.transform(inner, lambda m: S.match(self.name, m["pattern"], run["start"], run["end"], run["text"], S.HIGH, S.BLOCK, True))
 
             out.append(F.when(text.rlike(X.BASE64_RUN), F.flatten(F.transform(X.base64_runs(text), decoded))).otherwise(S.no_matches()))

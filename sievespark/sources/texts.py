@@ -14,6 +14,25 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", text: str =
     return reader.load(path).select(*keys, F.col("value" if fmt == "text" else text).alias("text"))
 
 
+#: Bytes of files up to which a table is dealt out anew.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """A small table's rows over all cores: its files have too few row groups to give each core one.
+
+    Larger tables are read as they lie, without a shuffle.
+    """
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    files = df.inputFiles()
+    for name in files if len(files) <= 64 else ():
+        path = hadoop(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return df.repartition(spark.sparkContext.defaultParallelism) if 0 < total <= small else df
+
+
 def stream_texts(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
     return spark.readStream.format(fmt).schema(schema).load(path).select(*keys, F.col(text).alias("text"))
 
