@@ -3,18 +3,19 @@
 A line's key is the line without white space at its ends and with A-Z in lower
 case. Keys of at least ``min_chars`` code points that at least ``min_docs``
 documents hold lose their lines, except in the largest ``doc_id`` that holds
-them. Documents don't join lines: the distinct line hashes that repeat are
-indexed by minimal perfect hashes, one a shard, whose numbers point into compact arrays of
-fingerprints, counts and keepers, and documents probe the arrays.
+them. Documents don't join lines: the distinct line hashes that more than one
+document holds are indexed by minimal perfect hashes, one a shard, whose
+numbers point into compact arrays of fingerprints, counts of documents and
+keepers. Documents probe the arrays, and the counts decide.
 
 Up to ``broadcast_bytes`` the index is broadcast and documents are rewritten in
 one pass. Beyond it the shards stay where they are: documents send their line
 hashes to them, a shard's rows dealt out over salts, and get back which lines
 go.
 
-Null or empty text: one empty line, kept. Null ids count as documents and are
-less than any other; a key that only null ids hold stays. Rows that repeat a
-doc_id count as documents each, and all rows of the largest id keep their lines.
+Null or empty text: one empty line, kept. Rows that repeat a doc_id are one
+document, and all rows of the largest id keep their lines. Each row with a null
+id is a document, of an id less than any other; a key that only null ids hold stays.
 """
 
 from __future__ import annotations
@@ -79,7 +80,8 @@ class PerfectHash:
             self.sizes.append(size)
             bits.append(alone)
             keys = keys[~alone[at]]
-        self.bits = np.packbits(np.concatenate(bits)) if bits else np.empty(0, np.uint8)
+        flags = np.concatenate(bits) if bits else np.empty(0, bool)
+        self.words = np.packbits(np.concatenate((flags, np.zeros(-len(flags) % 64, bool))), bitorder="little").view("<u8")
         self._open()
 
     @staticmethod
@@ -87,14 +89,14 @@ class PerfectHash:
         return (mix64(keys + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(size)).astype(np.int64)
 
     def _open(self) -> None:
-        self.flags = np.unpackbits(self.bits, count=sum(self.sizes)).astype(bool) if self.sizes else np.empty(0, bool)
-        self.before = (np.cumsum(self.flags) - self.flags).astype(np.int32)
+        """A count of the kept slots before each 64 of them: the rest of a slot's rank is counted in its word."""
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.uint32))).astype(np.uint32)
 
     def __getstate__(self) -> tuple:
-        return self.sizes, self.bits
+        return self.sizes, self.words
 
     def __setstate__(self, state: tuple) -> None:
-        self.sizes, self.bits = state
+        self.sizes, self.words = state
         self._open()
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -103,8 +105,10 @@ class PerfectHash:
         todo, base = np.arange(len(keys)), 0
         for level, size in enumerate(self.sizes):
             at = base + self.slots(keys[todo], level, size)
-            hit = self.flags[at]
-            out[todo[hit]] = self.before[at[hit]]
+            word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> bit) & np.uint64(1) == 1
+            below = word & ((np.uint64(1) << bit) - np.uint64(1))
+            out[todo[hit]] = self.before[at[hit] >> 6] + np.bitwise_count(below[hit])
             todo = todo[~hit]
             base += size
             if not len(todo):
@@ -132,27 +136,30 @@ class Shard:
 
 
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``first, second`` (halves of the hash) and ``doc_id`` of the distinct keys of each document."""
+    """``first, second`` (halves of the hash), ``doc_id`` and ``text_hash`` of the distinct keys of each row."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = [(*h, doc) for doc, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True) for h in {hash_pair(k) for _, k in line_keys(text, min_chars)}]
+                rows = [(*h, doc, own) for doc, text, own in zip(part.column(0).to_pylist(), texts_of(part), part.column(2).to_pylist(), strict=True) for h in {hash_pair(k) for _, k in line_keys(text, min_chars)}]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["first", "second", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["first", "second", "doc_id", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "first long, second long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "first long, second long, doc_id long, text_hash long")
 
 
-def build_index(lines: DataFrame, min_docs: int = MIN_DOCS, keys_a_shard: int = KEYS_A_SHARD) -> tuple[DataFrame, int]:
-    """The shards ``(shard, content)`` over the keys that lose lines, and their number.
+def build_index(lines: DataFrame, keys_a_shard: int = KEYS_A_SHARD) -> tuple[DataFrame, int]:
+    """The shards ``(shard, content)`` over the keys of more than one document, and their number.
 
-    Keys are counted with partial sums, so one that every document holds is as
-    cheap as any. Keys of fewer documents can't lose a line and aren't indexed.
+    Documents are told apart before they are counted, and both steps add up
+    partly before their shuffles, so a key that every document holds is as
+    cheap as any.
     """
-    counted = lines.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(_NULL_ID)).alias("keep"))
-    counted = materialize(counted.where(F.col("n") >= min_docs))
+    held = lines.groupBy("first", "second", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    documents = F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)
+    counted = held.groupBy("first", "second").agg(F.sum(documents).alias("n"), F.coalesce(F.max("doc_id"), F.lit(_NULL_ID)).alias("keep"))
+    counted = materialize(counted.where("n > 1"))
     n_shards = max(1, -(-counted.count() // keys_a_shard))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,11 +177,11 @@ def without(text: bytes, drop: set[int]) -> bytes:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_lines`` (before), ``n_dropped``."""
     lines = materialize(line_table(docs, min_chars))
-    index, n_shards = build_index(lines, min_docs)
+    index, n_shards = build_index(lines)
     size = index.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     if size <= broadcast_bytes:
-        return _rewrite_by_broadcast(docs, index, n_shards, min_chars)
-    return _rewrite_by_routing(docs, lines, index, n_shards, min_chars)
+        return _rewrite_by_broadcast(docs, index, n_shards, min_chars, min_docs)
+    return _rewrite_by_routing(docs, lines, index, n_shards, min_chars, min_docs)
 
 
 _FIELDS = [T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
@@ -185,7 +192,7 @@ def _rewritten(texts: list[bytes | None], drops: list[set[int]]) -> list:
     return [pa.array(new, pa.binary()).cast(pa.string()), [t.count(b"\n") + 1 if t else 1 for t in texts], [len(d) for d in drops]]
 
 
-def _rewrite_by_broadcast(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int) -> DataFrame:
+def _rewrite_by_broadcast(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int, min_docs: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.content) for r in index.collect()})
     opened: dict[int, Shard] = {}
     docs = _free(docs)
@@ -205,7 +212,7 @@ def _rewrite_by_broadcast(docs: DataFrame, index: DataFrame, n_shards: int, min_
                 if s in opened:
                     mine = np.flatnonzero(shard == s)
                     count, keep = opened[s].probe(np.ascontiguousarray(first[mine]), np.ascontiguousarray(second[mine]))
-                    for k in mine[(count > 0) & (keep != own[mine])].tolist():
+                    for k in mine[(count >= min_docs) & (keep != own[mine])].tolist():
                         drops[at[k][0]].add(at[k][1])
         return _rewritten(texts, drops)
 
@@ -217,24 +224,25 @@ def _free(docs: DataFrame) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped"}])
 
 
-def _rewrite_by_routing(docs: DataFrame, lines: DataFrame, index: DataFrame, n_shards: int, min_chars: int) -> DataFrame:
+def _rewrite_by_routing(docs: DataFrame, lines: DataFrame, index: DataFrame, n_shards: int, min_chars: int, min_docs: int) -> DataFrame:
     salts = max(SALTS, 4 * partitions(docs.sparkSession) // n_shards)
-    asks = lines.select("first", "second", "doc_id", F.pmod("first", F.lit(n_shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "second"), F.lit(salts)).cast("int").alias("salt"))
+    asks = lines.select("first", "second", "doc_id", "text_hash", F.pmod("first", F.lit(n_shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "second", "text_hash"), F.lit(salts)).cast("int").alias("salt"))
     shards = index.select("shard", "content", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def probe(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or shard.empty:
-            return pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "first": pd.Series(dtype="int64"), "second": pd.Series(dtype="int64")})
+            return pd.DataFrame({c: pd.Series(dtype="Int64") for c in ("doc_id", "text_hash", "first", "second")})
         count, keep = pickle.loads(shard["content"].iat[0]).probe(asked["first"].to_numpy(), asked["second"].to_numpy())
         own = asked["doc_id"].fillna(_NULL_ID).astype("int64").to_numpy() if asked["doc_id"].isna().any() else asked["doc_id"].to_numpy(np.int64)
-        return asked.loc[(count > 0) & (keep != own), ["doc_id", "first", "second"]].astype({"doc_id": "Int64"})
+        return asked.loc[(count >= min_docs) & (keep != own), ["doc_id", "text_hash", "first", "second"]].astype({"doc_id": "Int64"})
 
-    hits = asks.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInPandas(probe, "doc_id long, first long, second long")
-    by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("first", "second")).alias("gone"))
+    hits = asks.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInPandas(probe, "doc_id long, text_hash long, first long, second long")
+    # rows of one id, or of none, are told apart by their texts
+    by_row = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "second")).alias("gone"))
     docs = _free(docs)
     gone = free_name(docs, "__gone")
-    by_doc = by_doc.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("__id"), F.col("gone").alias(gone))
-    joined = docs.join(by_doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)) == F.col("__id"), "left").drop("__id")
+    by_row = by_row.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("gone").alias(gone))
+    joined = docs.join(by_row, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left").drop("__id", "__text")
 
     def run(batch: pa.RecordBatch) -> list:
         texts, drops = texts_of(batch), []

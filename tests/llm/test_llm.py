@@ -235,8 +235,8 @@ def deduped(rows):
     held = {}
     for n, (i, t) in enumerate(rows):
         for k in {key(x) for x in (t or "").split("\n") if len(key(x)) >= 20}:
-            held.setdefault(k, []).append(-(1 << 63) if i is None else i)
-    gone = {k: max(v) for k, v in held.items() if len(v) >= 3}
+            held.setdefault(k, []).append((-(1 << 63), n) if i is None else (i, 0))
+    gone = {k: max(v)[0] for k, v in held.items() if len(set(v)) >= 3}
     out = Counter()
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -253,6 +253,15 @@ def test_line_dedup(docs, none, limit):
     assert line_dedup.dedup_lines(none, broadcast_bytes=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, -1])
+def test_line_dedup_counts_documents(spark, limit):
+    """Rows of one id are one document; each row without an id is one."""
+    a, b, c = (x * 30 for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (1, a + "\n" + b), (2, b), (3, b), (None, c), (None, c), (None, c + "\nown"), (4, c + "\n" + c), (None, b)]
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_bytes=limit).collect())
+    assert got == deduped(rows) and (1, 1, 0, a) in got and (4, 2, 0, c + "\n" + c) in got and (None, 2, 1, "own") in got
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
     assert sorted(line_dedup.PerfectHash(keys).find(keys).tolist()) == list(range(len(keys)))
