@@ -1,6 +1,7 @@
 """Operators against brute force, on tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -350,6 +351,52 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def standard_archive(gzipped=True, together=False):
+    """As another writer makes it: warcinfo, request, a response without a payload digest, a revisit without Refers-To, metadata."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nhello"
+    sha = "sha1:" + hashlib.sha1(b"hello").hexdigest().upper()
+    made = [
+        (["WARC-Type: warcinfo", "WARC-Filename: x.warc.gz", "Content-Type: application/warc-fields"], b"software: own\r\nformat: WARC\r\n\r\n"),
+        (["warc-type: request", "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        (["WARC-Type: response", "WARC-Target-URI: http://a/", "X-Long: one", "\ttwo", "Content-Type: application/http;msgtype=response"], http),
+        (["WARC-Type: revisit", "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: {sha}", "Content-Type: application/http; msgtype=response"], b"HTTP/1.1 304 Not Modified\r\nContent-Length: 5\r\n\r\n"),
+        (["WARC-Type: metadata", "WARC-Payload-Digest: md5:abc", "Content-Type: application/warc-fields"], b""),
+    ]
+    out = []
+    for k, (head, block) in enumerate(made):
+        lines = ["WARC/1.0", *head, f"WARC-Record-ID: <urn:uuid:{k}>", f"Content-Length: {len(block)}"]
+        out.append("\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n")
+    if together:
+        out = [b"".join(out)]
+    return [gzip.compress(r) if gzipped else r for r in out]
+
+
+@pytest.mark.parametrize(("gzipped", "together"), [(True, False), (True, True), (False, True)])
+def test_warc_reads_standard_archives(spark, gzipped, together):
+    df = spark.createDataFrame([("x", bytearray(b"".join(standard_archive(gzipped, together)))), ("none", None), ("empty", bytearray())], "archive string, content binary")
+    rows = {r.record_id: r for r in warc.read_archives(df).collect()}
+    sha = hashlib.sha1(b"hello").hexdigest()
+    assert [rows[f"urn:uuid:{k}"].record_type for k in range(5)] == ["warcinfo", "request", "response", "revisit", "metadata"] and len(rows) == 5
+    two, three = rows["urn:uuid:2"], rows["urn:uuid:3"]
+    assert (two.payload_bytes, two.payload_digest, bytes(two.payload)) == (5, sha, b"hello")
+    assert (three.payload_bytes, three.payload_digest, three.refers_to, three.payload) == (5, sha, None, None)
+    assert rows["urn:uuid:4"].payload_digest == hashlib.sha1(b"").hexdigest() and rows["urn:uuid:0"].payload_bytes == 31
+
+
+def test_warc_damage(spark):
+    parts = standard_archive()
+    wrong = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n")
+    broken = parts[1][:20] + b"\xff\xff\xff" + parts[1][23:]
+    cut = parts[4][:40]
+    digest = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 1\r\nWARC-Block-Digest: sha1:" + b"0" * 40 + b"\r\n\r\nx\r\n\r\n")
+    df = spark.createDataFrame([("x", bytearray(b"".join([parts[0], wrong, broken, digest, gzip.compress(b"no record at all\r\n\r\n"), parts[2], cut])))], "archive string, content binary")
+    with pytest.raises(Exception):
+        warc.read_archives(df).collect()
+    rows = warc.read_archives(df, damaged="report").collect()
+    assert Counter(r.record_type for r in rows) == Counter({"warcinfo": 1, "response": 1, "damaged": 5})
+    assert all(r.target_uri for r in rows if r.record_type == "damaged")
+
+
 def components(rows, size):
     sets = []
     for i, t in rows:
