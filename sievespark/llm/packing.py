@@ -82,9 +82,12 @@ class WordTokens:
     """word -> little-endian ids, as the library ``tokenizers`` gives them.
 
     Its normaliser and splitter work within runs between spaces, so a word's
-    ids don't depend on its neighbours and are kept. The words that a batch of
+    ids don't depend on its neighbours and are kept, by a 64-bit hash of the word
+    (two of 800,000 words share one with probability 2e-8). The words that a batch of
     texts adds go through the file's merges together, one merge of each word at
-    a time; texts with unusual characters and long words go to the library.
+    a time. Texts with unusual characters or one of the file's added tokens, and
+    long words, go to the library, and so does everything if the file's
+    normaliser or splitters aren't those that this rests on.
     """
 
     def __init__(self, path: str) -> None:
@@ -92,10 +95,14 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known = Ragged(1)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.by_words = rests_on_words(spec)
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))).encode(), re.IGNORECASE) if added else None
+        if not self.by_words:
+            return
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.split = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]).findall
         self.pairs = PairTable(np.array([(vocab[a], vocab[b]) for a, b in merges], np.uint32).reshape(-1, 2))
@@ -145,9 +152,13 @@ class WordTokens:
             ids |= {u: self.whole(u) for u in units if u not in ids}
         self.known.add(keys, [[ids[s[0]] if len(s) == 1 else b"".join([ids[u] for u in s]) for s in split]])
 
+    def odd(self, text: bytes) -> bool:
+        """Whether the text has to go to the library."""
+        return not self.by_words or is_unusual(text) or (self.added is not None and self.added.search(text) is not None)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian ids of each text, without an end token."""
-        odd = {i: self.whole(t.decode("utf-8", "replace")) for i, t in enumerate(texts) if t and is_unusual(t)}
+        odd = {i: self.whole(t.decode("utf-8", "replace")) for i, t in enumerate(texts) if t and self.odd(t)}
         words = Words([None if i in odd else t for i, t in enumerate(texts)])
         distinct, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.known.rows) + len(distinct) > MOST_CACHED:
@@ -162,6 +173,20 @@ class WordTokens:
         return [odd[i] if i in odd else flat[ends[i] : ends[i + 1]] for i in range(len(texts))]
 
 
+def rests_on_words(spec: dict) -> bool:
+    """Whether the file lower-cases, splits at white space and by one pattern, and merges bytes to words with an end-of-word suffix."""
+
+    def kinds(part: dict | None, inner: str) -> list[str]:
+        part = part or {}
+        return [k for p in part.get(inner, ()) for k in kinds(p, inner)] if part.get("type") == "Sequence" else [part.get("type", "")]
+
+    model = spec["model"]
+    normal = kinds(spec.get("normalizer"), "normalizers")
+    splits = kinds(spec.get("pre_tokenizer"), "pretokenizers")
+    plain = not model.get("dropout") and not model.get("continuing_subword_prefix") and model.get("end_of_word_suffix")
+    return normal == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"] and model["type"] == "BPE" and bool(plain)
+
+
 def is_unusual(text: bytes) -> bool:
     if text.isascii():
         return _controls.search(text) is not None

@@ -144,9 +144,28 @@ def test_packing(spark, docs, none):
 
 
 def test_word_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
     t = packing.WordTokens(tokens.path("word_bpe_49k.json"))
     odd = ["", "it's 'S don't", "ÀÉ ß 12.5%$ <|endoftext|> a</w> x­ y·z", "İı", "x" * 100, "日本", "a\x1cb\x0bc\xa0d", "éa", "   ", "it'S O'REILLY's"]
-    assert t.encode([x.encode() for x in odd]) == [t.whole(x) for x in odd]
+    library = Tokenizer.from_file(tokens.path("word_bpe_49k.json"))
+    odd += ["see <|endoftext|> here", "<|startoftext|>x", "<|ENDOFTEXT|>", "<|endoftext|"]
+    rng = random.Random(12)
+    bits = [*"abzEST019 \t\n.,'!?-#$%&|<>()", "'s", "'LL", "the ", "ing", "é", "Ü", "ñ", "–", "’", "e\u0301", "ﬁ", "漢", "😀", "\xa0", "\u2028", "<|endoftext|>", "  "]
+    odd += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    ids = lambda x: np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    assert t.encode([x.encode() for x in odd]) == [ids(x) for x in odd]
+    assert np.frombuffer(ids("see <|endoftext|> here"), "<u4")[1] == 49407
+
+
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, " ": 3}, [("a", "b")]))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "t.json"))
+    t = packing.WordTokens(str(tmp_path / "t.json"))
+    assert not t.by_words and np.frombuffer(t.encode([b"ab ba", None])[0], "<u4").tolist() == [2, 1, 0]
 
 
 def test_quality_classifier(spark, none):
