@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,14 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary folder where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local master; on a
+    cluster other machines wouldn't see it, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="sievespark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="sievespark-"))
+        base = _own[0]
     path = f"{base.rstrip('/')}/sievespark-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_drop_scratch)
@@ -31,6 +40,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def _drop_scratch() -> None:
     """Results are lazy, so their scratch tables stay until the application ends."""
+    for path in _own:
+        shutil.rmtree(path, ignore_errors=True)
     for spark, path in _made:
         try:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

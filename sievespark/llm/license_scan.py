@@ -155,8 +155,9 @@ def _windows(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumn("windows", F.when(F.size("best") > 0, F.transform(kept, lambda m: F.struct(F.get("at", m["first"]).alias("line_no"), (-m["worse"]).alias("dice")))).otherwise(none))
 
 
-def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The matches of lines and whole texts with ``templates`` in DuckDB's SQL; it has no windows and no full texts."""
+def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
+    """The matches of lines and whole texts with all templates in DuckDB's SQL; it has no windows."""
+    templates = all_templates() if templates is None else templates
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted(templates.items()))
     return f"""
@@ -168,7 +169,7 @@ WITH texts AS (
 ), worded AS (
     SELECT doc_id, line_no, license, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM texts
 ), grammed AS (
-    SELECT doc_id, line_no, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) > 1 AND (license IS NOT NULL OR len(w) < 400)
+    SELECT doc_id, line_no, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) > 1
 )
 SELECT u.doc_id, u.line_no, t.license, 2.0::DOUBLE * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS dice
 FROM (FROM grammed WHERE license IS NULL) u JOIN (FROM grammed WHERE license IS NOT NULL) t
