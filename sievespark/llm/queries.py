@@ -60,7 +60,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edit_likeness(_documents(spark, sf_dir))
+    return simhash.edits_and_neighbours(_documents(spark, sf_dir))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

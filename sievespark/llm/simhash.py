@@ -7,8 +7,12 @@ bit is set where the votes are above 0. Equal texts have equal fingerprints.
 To find all fingerprints within ``radius`` bits, the bits are cut into blocks.
 Fingerprints that near agree on at least ``blocks - radius`` of them, so for
 each choice of that many blocks one table keyed by those blocks brings them
-together. Null or empty text: no terms, the fingerprint of zeros. Repeated
-texts share one fingerprint and are compared once; empty tables give none.
+together. A search asks for some fingerprints and counts the documents near to
+each; rows of a table's key are compared where they meet, and keys of over
+``MEMBERS`` fingerprints are cut into parts, to each of which go all that ask.
+
+Null or empty text: no terms, the fingerprint of zeros. Repeated texts share
+one fingerprint and are compared once; empty tables give none.
 """
 
 from __future__ import annotations
@@ -23,12 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievespark.llm.common import append_columns, bound_batches, materialize, mix64, partitions, slices, texts_of
+from sievespark.llm.common import append_columns, attach, bound_batches, materialize, mix64, partitions, slices, texts_of
 from sievespark.llm.words import Words, shingles
 
 BITS = 128
 RADIUS = 3
-BLOCKS = 6
+BLOCKS = 4
+#: Distinct fingerprints of one key that meet in one task.
+MEMBERS = 4096
+#: Documents that the query searches for: those whose id is divisible by this.
+ASK_EVERY = 20
 
 
 def fingerprints(texts: list[bytes | None]) -> np.ndarray:
@@ -119,17 +127,104 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def near_fingerprints(marked: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def _tables(radius: int, blocks: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """Bounds of the blocks in hex digits, and the blocks that key each table."""
+    if not 0 <= radius < blocks <= 32:
+        raise ValueError("0 <= radius < blocks <= 32")
+    return [round(k * BITS / 4 / blocks) for k in range(blocks + 1)], list(combinations(range(blocks), blocks - radius))
+
+
+def near_counts(marked: DataFrame, asked: Column, radius: int = RADIUS, blocks: int = BLOCKS, members: int = MEMBERS) -> DataFrame:
+    """``fingerprint, copies, n_near`` of the fingerprints of the rows of ``marked`` where ``asked`` holds.
+
+    ``copies``: rows that ask with it; ``n_near``: rows of ``marked`` whose
+    fingerprint has at most ``radius`` other bits, its own rows included. A
+    pair that several tables bring together counts in the first of them.
+    """
+    cuts, tables = _tables(radius, blocks)
+    spark = marked.sparkSession
+    bound_batches(spark)
+    ask = F.coalesce(asked, F.lit(False))
+    distinct = materialize(marked.where("fingerprint is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("rows"), F.count_if(ask).alias("copies")))
+    half = lambda k: F.conv(F.substring("fingerprint", 16 * k + 1, 16), 16, -10).cast("long")
+    part = lambda k: F.substring("fingerprint", cuts[k] + 1, cuts[k + 1] - cuts[k])
+    keys = F.array(*[F.xxhash64(F.lit(t), *[part(k) for k in chosen]) for t, chosen in enumerate(tables)])
+    keyed = distinct.select(half(0).alias("high"), half(1).alias("low"), "rows", (F.col("copies") > 0).alias("asks"), F.posexplode(keys).alias("table", "key"))
+    large = materialize(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("a")).where((F.col("n") > members) & (F.col("a") > 0)).select("table", "key", F.ceil(F.col("n") / members).cast("int").alias("parts")))
+    placed = keyed.join(large, ["table", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    at = lambda p, q: F.struct(p.cast("int").alias("part"), F.lit(q).alias("query"))
+    own = F.array(at(F.pmod(F.xxhash64("low", "high", "key"), F.col("parts")), False))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: at(p, True))
+    rows = placed.select("table", "key", "high", "low", "rows", F.explode(F.when(F.col("asks"), F.concat(own, every)).otherwise(own)).alias("at")).select("table", "key", "at.part", "at.query", "high", "low", "rows")
+    rows = rows.repartition(partitions(spark), "table", "key", "part").sortWithinPartitions("table", "key", "part", F.col("query").desc())
+    masks = []
+    for chosen in tables:
+        mask = sum(((1 << 4 * (cuts[k + 1] - cuts[k])) - 1) << (BITS - 4 * cuts[k + 1]) for k in chosen)
+        masks.append((np.uint64(mask >> 64), np.uint64(mask & 0xFFFFFFFFFFFFFFFF)))
+
+    def near(table: int, asks: np.ndarray, high: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(asks), np.int64)
+        for i, (h, w) in enumerate(asks):
+            x, y = high ^ h, low ^ w
+            close = np.flatnonzero(np.bitwise_count(x) + np.bitwise_count(y) <= radius)
+            x, y = x[close], y[close]
+            first = np.ones(len(close), bool)
+            for a, b in masks[:table]:
+                first &= (x & a | y & b) != 0
+            out[i] = count[close[first]].sum()
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asks, counts = None, [], np.empty(0, np.int64)
+
+        def made() -> pa.RecordBatch:
+            pairs = np.array(asks, np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], ["high", "low", "n_near"])
+
+        for batch in batches:
+            for piece in slices(batch, members):
+                table, key, of, query, high, low, count = (c.to_numpy(zero_copy_only=False) for c in piece.columns)
+                high, low = high.view(np.uint64), low.view(np.uint64)
+                edges = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1]) | (of[1:] != of[:-1])) + 1
+                for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+                    if i == j:
+                        continue
+                    if now != (table[i], key[i], of[i]):
+                        if asks:
+                            yield made()
+                        now, asks, counts = (table[i], key[i], of[i]), [], np.empty(0, np.int64)
+                    q = i + int(np.count_nonzero(query[i:j]))  # those that ask come first
+                    asks += zip(high[i:q], low[i:q], strict=True)
+                    counts = np.concatenate((counts, np.zeros(q - i, np.int64)))
+                    if asks and q < j:
+                        counts += near(int(table[i]), asks, high[q:j], low[q:j], count[q:j])
+        if asks:
+            yield made()
+
+    found = rows.mapInArrow(run, "high long, low long, n_near long").groupBy("high", "low").agg(F.sum("n_near").alias("n_near"))
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    found = found.select(F.concat(digits("high"), digits("low")).alias("fingerprint"), "n_near")
+    return distinct.where("copies > 0").select("fingerprint", "copies").join(found, "fingerprint")
+
+
+def edits_and_neighbours(docs: DataFrame, ask_every: int = ASK_EVERY) -> DataFrame:
+    """:func:`edit_likeness`, and ``n_near`` of the documents whose id is divisible by ``ask_every`` (null for others)."""
+    marked = materialize(edit_likeness(docs))
+    asked = F.coalesce(F.col("doc_id") % ask_every == 0, F.lit(False))
+    counts = materialize(near_counts(marked.select("doc_id", "fingerprint"), asked))
+    total = counts.agg(F.sum("copies")).first()[0] or 0
+    asking = attach(marked.where(asked), counts, ["fingerprint"], "copies", total)
+    return asking.unionByName(marked.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+
+
+def near_fingerprints(marked: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame:
     """All pairs ``a < b`` of different values of ``fingerprint`` in ``marked`` with at most ``radius`` differing bits, and ``distance``.
 
     Copies of a fingerprint take part once. A table's key holds
     ``blocks - radius`` blocks, at least 128 / blocks bits each; a pair that
     several tables find is returned once, from the first of them.
     """
-    if not 0 <= radius < blocks <= 32:
-        raise ValueError("0 <= radius < blocks <= 32")
-    cuts = [round(k * BITS / 4 / blocks) for k in range(blocks + 1)]  # in hex digits
-    tables = list(combinations(range(blocks), blocks - radius))
+    cuts, tables = _tables(radius, blocks)
     distinct = materialize(marked.select("fingerprint").where("fingerprint is not null").distinct())
     part = lambda c, k: F.substring(c, cuts[k] + 1, cuts[k + 1] - cuts[k])
     keys = F.array(*[F.struct(F.lit(t).alias("table"), F.concat(*[part(F.col("fingerprint"), k) for k in chosen]).alias("key")) for t, chosen in enumerate(tables)])

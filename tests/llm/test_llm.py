@@ -312,6 +312,68 @@ def test_near_fingerprints(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(expected) and expected
 
 
+@pytest.mark.parametrize(("radius", "blocks", "members"), [(3, 4, 4096), (3, 4, 5), (5, 7, 3), (0, 1, 4096)])
+def test_near_counts(spark, radius, blocks, members):
+    """Against all pairs, with keys that many share, cut into parts."""
+    rng = random.Random(3)
+    base = rng.getrandbits(128)
+    values = [rng.getrandbits(128) for _ in range(30)] + [base ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 5))) for _ in range(90)] + [0, 0, (1 << 128) - 1, 1 << 127]
+    rows = [(i if i % 7 else None, f"{v:032x}") for i, v in enumerate(values)] + [(200, None)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string").repartition(3)
+    got = {r.fingerprint: (r.copies, r.n_near) for r in simhash.near_counts(df, df.doc_id % 3 == 0, radius, blocks, members).collect()}
+    expected = {}
+    for i, h in rows:
+        if h and i is not None and i % 3 == 0:
+            expected[h] = (sum(x == h and k is not None and k % 3 == 0 for k, x in rows), sum((int(h, 16) ^ int(x, 16)).bit_count() <= radius for _, x in rows if x))
+    assert got == expected
+
+
+def test_simhash_query(docs, none):
+    rows = simhash.edits_and_neighbours(docs, 4).collect()
+    assert Counter(tuple(r)[:-1] for r in rows) == Counter(tuple(r) for r in simhash.edit_likeness(docs).collect())
+    for r in rows:
+        asks = r.doc_id is not None and r.doc_id % 4 == 0
+        assert r.n_near == (sum((int(r.fingerprint, 16) ^ int(x.fingerprint, 16)).bit_count() <= 3 for x in rows) if asks else None)
+    assert simhash.edits_and_neighbours(none).count() == 0
+
+
+def test_fingerprint_bits():
+    """Votes counted one by one, over hashes worked out in plain whole numbers."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        for shift, k in ((32, 0xD6E8FEB86659FD93), (32, 0xD6E8FEB86659FD93), (32, 1)):
+            x = ((x ^ x >> shift) * k) & top
+        return x
+
+    def word_hash(w):
+        parts = [int.from_bytes(w[k : k + 8], "little") for k in range(0, len(w), 8)]
+        h = mix(parts[0] ^ (len(w) * 0x9E3779B97F4A7C15 & top))
+        for p in parts[1:]:
+            h = mix((h * 0x9FB21C651E98DF25 + p) & top)
+        return h
+
+    def run_hash(hashes):
+        h = 0
+        for x in hashes:
+            h = (h * 0x9E3779B97F4A7C15 + x) & top
+            h ^= h >> 29
+        return mix((h + len(hashes)) & top)
+
+    for text in [t for t in texts() if t and len(t) < 3000]:
+        data = text.encode().lower()
+        words = [word_hash(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+        terms = Counter(words + ([run_hash(words[k : k + 2]) for k in range(max(1, len(words) - 1))] if words else []))
+        votes = np.zeros(128)
+        for term, n in terms.items():
+            bits = mix(term).to_bytes(8, "little") + mix(term ^ 0xA0761D6478BD642F).to_bytes(8, "little")
+            signs = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(float) * 2 - 1
+            votes += np.float32(1 + math.log(n)) * signs
+        sure = np.abs(votes) > 0.01  # a tie leaves a bit unset
+        own = np.unpackbits(simhash.fingerprints([text.encode()])[0])
+        assert (own[sure] == (votes > 0)[sure]).all() and not own[~sure].any()
+
+
 def test_bpe(docs, none):
     tiktoken = pytest.importorskip("tiktoken")
     path = tokens.path("byte_bpe_multi_50k.tiktoken")
