@@ -526,20 +526,139 @@ def test_near_dup_large_buckets(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
 
 
-def test_pipeline(spark, docs, tmp_path):
+def judged(rows, trusted):
+    """Whether the quality rules keep each text of ``rows`` (id, text), worked out gram by gram."""
+    grams = lambda t: [(int.from_bytes(d[k : k + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 18 for d in [(t or "").encode()] for k in range(len(d) - 3)]
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in trusted:
+            target.update(grams(t))
+    n, m = sum(raw.values()) + quality_rules.BUCKETS, sum(target.values()) + quality_rules.BUCKETS
+    out = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        at = {}
+        for k in range(len(w) - 7):
+            at.setdefault(tuple(w[k : k + 8]), []).append(k)
+        cover = {j for ks in at.values() if len(ks) > 1 for k in ks for j in range(k, k + 8)}
+        own = grams(t)
+        score = sum(math.log((target[g] + 1) / m) - math.log((raw[g] + 1) / n) for g in own) / max(1, len(own)) if target else 0
+        out.append(len(w) >= 20 and 100 * len(cover) <= 30 * len(w) and score >= quality_rules.THRESHOLD)
+    return out
+
+
+def identified(rows, training):
+    """Language and cosine of each text, by plain sums of bound letter vectors; ``training``: (text, language) of the rows that are learnt from."""
+    letter = lambda c: np.random.default_rng([1, ord(c)]).integers(0, 2, langid.DIMENSIONS, np.int8).astype(int) * 2 - 1
+    known = {}
+
+    def vector(text):
+        t = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip() + " "
+        out = np.zeros(langid.DIMENSIONS)
+        for k in range(len(t) - 2):
+            if t[k : k + 3] not in known:
+                a, b, c = map(letter, t[k : k + 3])
+                known[t[k : k + 3]] = np.roll(a, 2) * np.roll(b, 1) * c
+            out += known[t[k : k + 3]]
+        return out if t.strip() else None
+
+    sums = {}
+    for text, lang in training:
+        if lang and text and (v := vector(text)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    out = []
+    for text in rows:
+        v = vector(text)
+        cosines = {lang: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for lang, p in sums.items()} if v is not None else {}
+        best = min(cosines, key=lambda k: (-cosines[k], k), default="und")
+        out.append((best, cosines.get(best, 0.0)))
+    return out
+
+
+def test_langid_equals_plain_sums(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS[k % 3 :: 3] + ["Éa", "x1y", "ß"]) for _ in range(rng.randint(1, 60))), ("aa", "bb", "cc", None)[k % 4]) for i, k in enumerate(rng.choices(range(12), k=60))]
+    rows += [(100, None, "aa"), (101, "12 _ 3", "bb"), (102, "", None), (103, "日本", "cc"), (None, "alra best", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    expected = identified([r[1] for r in rows], [(r[1], r[2]) for r in rows if r[0] is not None and r[0] % 2])
+    got = {r.doc_id: r for r in langid.identify(df, langid.train(df, df.doc_id % 2 == 1)).collect()}
+    assert [got[r[0]].lang_pred for r in rows] == [e[0] for e in expected]
+    assert [got[r[0]].score for r in rows] == pytest.approx([min(1, max(0, e[1])) for e in expected], abs=1e-5)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Stage by stage, each on all that the stage before it kept: nulls, repeated ids and rows, and columns that clash with the stages' own."""
     import corpus_pipeline
 
-    docs.withColumn("n_chars", docs.doc_id).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(11, 50)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rng = random.Random(21)
+    common = "a line that many of these documents have in common"
+    rows = []
+    for i in range(90):
+        text = "\n".join(" ".join(rng.choice(WORDS) for _ in range(rng.randint(3, 40))) for _ in range(rng.randint(1, 4)))
+        rows += [(i, text), (i, text + "\n" + common), (None, text + " fin"), (i + 500, text.upper()), (i, text)][: rng.choice([1, 2, 2, 2, 3, 5])]
+    rows += [(900, None), (None, None), (901, ""), (902, "0123 456 " * 20), (903, "one two"), (904, ("al be co du " * 9 + "\n") * 3), (None, common), (905, " ".join(WORDS * 300))]
+    fields = ("score", "kept", "gone_id", "gone_row", "row_key", "carried_row", "n_lines", "lang_pred", "node", "component_id", "n_chars")
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{f} long" for f in fields)
+    full = [(i, t, ("en", "de")[k % 2], *range(k, k + len(fields))) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(full, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    trusted = set(range(0, 90, 2))
+    spark.createDataFrame([(i, int(i in trusted), 0) for i in range(90)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    columns = now.columns
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = now.count()
+    for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in now.collect()]
         stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
-        now = spark.read.parquet(str(tmp_path / name))
-        if k < 4:
-            assert now.columns == columns and 0 < now.count() <= before
-    assert now.count() and "sequence_id" in now.columns
+        made = spark.read.parquet(str(tmp_path / name))
+        after = [tuple(r) for r in made.collect()]
+        texts_before = [r[1] for r in before]
+        if name == "quality_rules":
+            assert Counter(after) == Counter(r for r, keep in zip(before, judged([r[:2] for r in before], trusted), strict=True) if keep) and 0 < len(after) < len(before)
+        elif name == "language_id":
+            found = identified(texts_before, [(r[1], r[2]) for r in before])
+            assert Counter(after) == Counter(r for r, (lang, cosine) in zip(before, found, strict=True) if lang != "und" and cosine >= corpus_pipeline.LEAST_COSINE)
+        elif name == "line_dedup":
+            expected = Counter((i, kept) for (i, _, _, kept), n in deduped([r[:2] for r in before]).items() for _ in range(n))
+            assert Counter((r[0], r[1]) for r in after) == expected and all(r[-1] == len(r[1]) for r in after) and Counter(r[2:-1] for r in after) == Counter(r[2:-1] for r in before)
+            assert sum(len(t) for t in texts_before) > sum(len(r[1]) for r in after)
+        elif name == "minhash_near_dedup":
+            groups = near_groups([r[1] for r in before])
+            assert not Counter(after) - Counter(before) and len(after) == len(groups) < len(before)
+            left = Counter(after)
+            for group in groups:
+                ids = [before[k][0] for k in group]
+                least = min((i for i in ids if i is not None), default=None)
+                held = [k for k in group if before[k][0] == least and left[before[k]] > 0]
+                assert held
+                left[before[held[0]]] -= 1
+        else:
+            ids = packing.WordTokens(tokens.path("word_bpe_49k.json")).whole
+            expected = Counter((r[0], len(ids(r[1] or "")) // 4 + 1) for r in before)
+            got = Counter()
+            for r in made.groupBy("doc_id").sum("length").collect():
+                got[r[0]] += r[1]
+            totals = Counter()
+            for (i, n), times in expected.items():
+                totals[i] += n * times
+            assert got == totals
+            for _, own in made.toPandas().sort_values("offset").groupby("sequence_id"):
+                assert own.offset.tolist() == np.concatenate(([0], own.length.cumsum()[:-1])).tolist() and own.length.sum() <= 4096
+        now = made
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def near_groups(all_texts, size=5):
+    """Places of the texts of each component; texts without words are alone."""
+    sets = []
+    for t in all_texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    groups = []
+    for k, s in enumerate(sets):
+        met = [g for g in groups if any(s and sets[j] and 100 * len(s & sets[j]) >= 80 * len(s | sets[j]) for j in g)]
+        groups = [g for g in groups if g not in met] + [[k] + [j for g in met for j in g]]
+    return groups
 
 
 def test_pipeline_keeps_one_row_of_each_group(spark):
