@@ -36,12 +36,26 @@ def find_all(text: Column, pattern: str | Column, gate: Column | None = None) ->
     their lengths are the offsets. ``gate``: a cheap condition that holds
     wherever there is a hit; without it, rows without a hit stop at ``rlike``.
     """
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, pattern, F.lit(-1)).alias("gaps"))
-    spans = F.when(F.regexp_like(text, pattern) if gate is None else gate, bound(both, _interleaved))
+    spans = F.when(_gate(text, pattern, gate), bound(_pieces(text, pattern), _interleaved))
     return F.coalesce(spans, F.when(text.isNotNull(), F.array().cast(SPANS)))
 
 
+def find_each(text: Column, patterns: list[tuple[str, Column | None]]) -> Column:
+    """An array of :func:`find_all` of each pattern and gate, from one expression that places the hits of all: plans stay small."""
+    pieces = F.array(*[F.when(_gate(text, p, gate), _pieces(text, p)) for p, gate in patterns])
+    none = F.array().cast(SPANS)
+    return F.when(text.isNotNull(), F.transform(pieces, lambda s: F.when(s.isNotNull(), _interleaved(s)).otherwise(none)))
+
+
+def _gate(text: Column, pattern: str | Column, gate: Column | None) -> Column:
+    return F.regexp_like(text, F.lit(pattern) if isinstance(pattern, str) else pattern) if gate is None else gate
+
+
+def _pieces(text: Column, pattern: str | Column) -> Column:
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, pattern, F.lit(-1)).alias("gaps"))
+
+
 def _interleaved(s: Column) -> Column:
     # split leaves no empty piece before an empty hit at the very start
     gaps = F.when(F.size(s["gaps"]) == F.size(s["hits"]), F.concat(F.array(F.lit("")), s["gaps"])).otherwise(s["gaps"])

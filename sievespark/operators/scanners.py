@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sievespark import schema as S
 from sievespark.functions import tables, text as X
-from sievespark.functions.positions import any_of, bound, find_all
+from sievespark.functions.positions import any_of, bound, find_all, find_each
 
 
 class Scanner(Protocol):
@@ -34,8 +34,11 @@ def _named(scanner: str, pattern: str, confidence: int, severity: int):
     return lambda s: S.match(scanner, F.lit(pattern), s["start"], s["end"], s["text"], confidence, severity)
 
 
-def _passes(check):
-    return lambda s: check(s["text"])
+def _graded(scanner: str, spans: Column, grades: list[tuple[str, int, int]]) -> Column:
+    """Matches of the spans of several patterns, each with its own id, confidence and severity."""
+    table = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(c).alias("c"), F.lit(s).alias("s")) for k, c, s in grades])
+    one = lambda g: lambda s: S.match(scanner, g["id"], s["start"], s["end"], s["text"], g["c"], g["s"])
+    return F.flatten(F.zip_with(spans, table, lambda found, g: F.transform(found, one(g))))
 
 
 def _session() -> SparkSession:
@@ -184,8 +187,10 @@ class RegexScan:
     def matches(self, text: Column) -> Column:
         # no hit begins within a character that Java writes as two units
         whole = lambda p: f"(?![\\x{{DC00}}-\\x{{DFFF}}])(?:{p.regex})"
-        found = [_each(find_all(text, whole(p), any_of(text, p.holds) if p.holds else None), _named(self.name, p.id, p.confidence, p.severity)) for p in self.patterns]
-        return F.concat(*found) if found else F.when(text.isNotNull(), S.no_matches())
+        if not self.patterns:
+            return F.when(text.isNotNull(), S.no_matches())
+        spans = find_each(text, [(whole(p), any_of(text, p.holds) if p.holds else None) for p in self.patterns])
+        return _graded(self.name, spans, [(p.id, p.confidence, p.severity) for p in self.patterns])
 
 
 @dataclass(frozen=True)
@@ -252,22 +257,25 @@ class PiiPatterns:
 
     def matches(self, text: Column) -> Column:
         checks = {"ssn": X.ssn_valid, "luhn": X.luhn_ok, "iban": X.iban_ok}
+        wanted = [(key, regex, check) for key, regex, check in tables.PII if not self.only or key in self.only]
+        if not wanted:
+            return F.when(text.isNotNull(), S.no_matches())
 
-        def scanned(seen: Column) -> Column:
-            found = []
-            for key, regex, check in tables.PII:
-                if self.only and key not in self.only:
-                    continue
-                holds = tables.PII_HOLDS[key]
-                gate = text.rlike(holds) if len(holds) > 1 else text.contains(holds)
-                spans = find_all(text, regex, gate if key in tables.PII_WITHOUT_DIGITS else seen & gate)
-                if check:
-                    spans = F.filter(spans, _passes(checks[check]))
-                grade = (S.HIGH, S.BLOCK) if check else (S.MEDIUM, S.WARN)
-                found.append(_each(spans, _named(self.name, key, *grade)))
-            return F.concat(*found)
-
-        return bound(text.rlike(r"(?U)\d"), scanned)
+        def gate(key: str, seen: Column) -> Column:
+            holds = tables.PII_HOLDS[key]
+            held = text.rlike(holds) if len(holds) > 1 else text.contains(holds)
+            return held if key in tables.PII_WITHOUT_DIGITS else seen & held
+
+        def valid(s: Column, i: Column) -> Column:
+            out = F.lit(True)
+            for k, (_, _, check) in enumerate(wanted):
+                out = F.when(i == k, checks[check](s["text"])).otherwise(out) if check else out
+            return out
+
+        spans = bound(text.rlike(r"(?U)\d"), lambda seen: find_each(text, [(regex, gate(key, seen)) for key, regex, _ in wanted]))
+        if any(check for _, _, check in wanted):
+            spans = F.transform(spans, lambda found, i: F.filter(found, lambda s: valid(s, i)))
+        return _graded(self.name, spans, [(key, *((S.HIGH, S.BLOCK) if check else (S.MEDIUM, S.WARN))) for key, _, check in wanted])
 
 
 @dataclass(frozen=True)

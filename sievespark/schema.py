@@ -17,8 +17,8 @@ def no_matches() -> Column:
     return F.array().cast(MATCHES)
 
 
-def match(scanner: str, pattern: Column, start: Column, end: Column, text: Column, confidence: int, severity: int, decoded: bool = False) -> Column:
-    code = lambda c: F.lit(c).cast("tinyint")
+def match(scanner: str, pattern: Column, start: Column, end: Column, text: Column, confidence: int | Column, severity: int | Column, decoded: bool = False) -> Column:
+    code = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("tinyint")
     return F.struct(F.lit(scanner).alias("scanner"), pattern.alias("pattern"), start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"), code(confidence).alias("confidence"), code(severity).alias("severity"), F.lit(decoded).alias("decoded"))
 
 
